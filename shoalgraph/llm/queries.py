@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shoalgraph.llm.license_scan import license_report
+from shoalgraph.llm.quality_rules import quality_report
 from shoalgraph.llm.runtime import read
 from shoalgraph.llm.sharding import shard_by_bytes
 from shoalgraph.llm.token_counts import token_counts
@@ -15,12 +17,20 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), model="piece_bpe_32k.model", limit=4096)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op7_token_counts)}
+    return {f.__name__: f for f in (op4_sharding, op6_license_scan, op7_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
