@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shoalgraph.llm.license_scan import license_report
+from shoalgraph.llm.packing import pack
 from shoalgraph.llm.quality_rules import quality_report
 from shoalgraph.llm.runtime import read
 from shoalgraph.llm.sharding import shard_by_bytes
@@ -17,6 +18,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json", length=2048, end=1)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(read(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op6_license_scan, op7_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
