@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shoalgraph.llm.bagminhash import near_duplicates
 from shoalgraph.llm.html_extract import extract_main_text
 from shoalgraph.llm.license_scan import license_report
 from shoalgraph.llm.packing import pack
@@ -19,6 +20,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"), min_pages=10)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), least=0.8)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(read(spark, sf_dir, "documents"), n_shards=24)
 
@@ -40,7 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extraction, op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_html_extraction, op3_minhash, op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
