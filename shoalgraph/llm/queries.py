@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shoalgraph.llm.bagminhash import near_duplicates
 from shoalgraph.llm.html_extract import extract_main_text
+from shoalgraph.llm.line_dedup import dedup_lines
 from shoalgraph.llm.license_scan import license_report
 from shoalgraph.llm.packing import pack
 from shoalgraph.llm.quality_rules import quality_report
@@ -16,6 +17,10 @@ from shoalgraph.llm.sharding import shard_by_bytes
 from shoalgraph.llm.token_counts import token_counts
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read(spark, sf_dir, "documents"), report=True)
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(read(spark, sf_dir, "pages"), min_pages=10)
 
@@ -45,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html_extraction, op3_minhash, op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_html_extraction, op3_minhash, op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
