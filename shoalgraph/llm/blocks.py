@@ -80,9 +80,14 @@ _space = np.zeros(256, bool)
 _space[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without ASCII white space), and how many words lie before each text."""
-    out = _space[buf]
+#: Bytes between words of letters and digits; every byte beyond ASCII is part of a word.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without ASCII white space, or what ``between`` marks), and how many words lie before each text."""
+    out = between[buf]
     begins = ~out
     begins[1:] &= out[:-1]
     edges = offsets[:-1]

@@ -10,6 +10,7 @@ from shoalgraph.llm.bagminhash import near_duplicates
 from shoalgraph.llm.html_extract import extract_main_text
 from shoalgraph.llm.line_dedup import dedup_lines
 from shoalgraph.llm.license_scan import license_report
+from shoalgraph.llm.lsa_decontam import contamination
 from shoalgraph.llm.packing import pack
 from shoalgraph.llm.quality_rules import quality_report
 from shoalgraph.llm.runtime import read
@@ -45,12 +46,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), model="piece_bpe_32k.model", limit=4096)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_html_extraction, op3_minhash, op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_html_extraction, op3_minhash, op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op8_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
