@@ -13,6 +13,7 @@ from shoalgraph.llm.license_scan import license_report
 from shoalgraph.llm.lsa_decontam import contamination
 from shoalgraph.llm.packing import pack
 from shoalgraph.llm.quality_rules import quality_report
+from shoalgraph.llm.repeated_spans import remove_repeats
 from shoalgraph.llm.runtime import read
 from shoalgraph.llm.sharding import shard_by_bytes
 from shoalgraph.llm.token_counts import token_counts
@@ -50,12 +51,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"), length=50)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_html_extraction, op3_minhash, op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op8_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_html_extraction, op3_minhash, op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op8_decontamination, op9_suffix_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
