@@ -49,7 +49,8 @@ def triple_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raw = spark.read.schema(wide).csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", enforceSchema=True)
     raw = raw.withColumn("row_index", F.monotonically_increasing_id())  # a file with multi-line fields is one split
     commas = F.length(F.regexp_replace(F.regexp_replace("_corrupt_record", '"[^"]*"', ""), "[^,]", ""))
-    long = F.coalesce(commas >= len(names), F.lit(False))
+    read_too = F.coalesce(F.length("c0"), F.lit(0)) >= 0  # always so; a query of the corrupt-record column alone is refused
+    long = F.coalesce(commas >= len(names), F.lit(False)) & read_too
     have = {n: f"c{k}" for k, n in reversed(list(enumerate(names)))}
     columns = [(na_to_null(F.col(have[c])) if c in have else F.lit(None).cast("string")).alias(c) for c in schemas.TRIPLES]
     rows = raw.where(~long).select(*columns, F.lit(file_name).alias("file_name"), "row_index")
