@@ -2,9 +2,9 @@
 
 Nine rules look at a text; each votes good (1) or bad (-1) or abstains (0). The votes form one of at most
 3 ** 9 patterns, so the corpus reduces to a bounded table of pattern counts (one aggregate over all
-rows). Expectation-maximisation on that table estimates how each rule votes on good and on bad texts and
-how many texts are good; the posterior probability of "good" for a pattern is broadcast back. Rule
-thresholds are fixed; what is estimated comes from all documents.
+rows). Expectation-maximisation on that table estimates how each rule votes on good and on bad texts; the
+posterior probability of "good" for a pattern is broadcast back. Rule thresholds are fixed; what is estimated
+comes from all documents.
 """
 
 from __future__ import annotations
@@ -23,6 +23,10 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 ABUSE = ["clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
 RULES = ["symbols", "capitals", "shouting", "dup_lines", "repeats", "word_length", "length", "sentences", "abuse"]
 #: P(bad vote), P(no vote) and P(good vote) before anything is seen, on good and on bad texts.
+#: Share of good texts before any vote. It is fixed: as silence is no evidence, votes alone don't tell it.
+SHARE = 0.8
+#: Rules are written so that at most this share of good texts gets their bad vote.
+FALSE_ALARM = 0.01
 PRIOR = {True: [0.02, 0.38, 0.60], False: [0.40, 0.20, 0.40]}
 
 
@@ -123,8 +127,8 @@ def posteriors(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
     A rule votes independently given the class, and only votes that are cast are evidence: most rules know
     one kind of bad text each, so that a rule's silence must not count for a text that another one
     condemns. How often a rule votes bad (or good) on either class starts at PRIOR and keeps that as a
-    prior worth 2 % of the rows; a bad vote is held to be rarer on good texts than on bad ones, so that the classes
-    can't swap.
+    prior worth 2 % of the rows; a bad vote is held to be rarer on good texts than on bad ones and than FALSE_ALARM, so
+    that the classes can't swap.
     """
     if not counts:
         return {}
@@ -132,13 +136,12 @@ def posteriors(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
     seen = {p: digits(p) for p in counts}
     weight = 0.02 * total + 1
     like = {c: [list(PRIOR[c]) for _ in RULES] for c in PRIOR}
-    share, post = 0.8, {}
+    post: dict[int, float] = {}
     for _ in range(rounds):
         post = {}
         for p, d in seen.items():
-            logit = math.log((1 - share) / share) + sum(math.log(like[False][j][v] / like[True][j][v]) for j, v in enumerate(d) if v != 1)
+            logit = math.log((1 - SHARE) / SHARE) + sum(math.log(like[False][j][v] / like[True][j][v]) for j, v in enumerate(d) if v != 1)
             post[p] = 1 / (1 + math.exp(max(-700.0, min(700.0, logit))))
-        share = min(0.99, max(0.5, sum(post[p] * n for p, n in counts.items()) / total))
         for c in PRIOR:
             mass = {p: n * (post[p] if c else 1 - post[p]) for p, n in counts.items()}
             whole = sum(mass.values())
@@ -148,7 +151,7 @@ def posteriors(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
                     got[d[j]] += mass[p]
                 like[c][j] = [x / (whole + weight) for x in got]
         for j in range(len(RULES)):
-            like[True][j][0] = min(like[True][j][0], like[False][j][0])
+            like[True][j][0] = min(like[True][j][0], like[False][j][0], FALSE_ALARM)
     return post
 
 

@@ -1,0 +1,486 @@
+"""Each training-data operator against a brute-force version, and on odd rows."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from shoalgraph.llm import bagminhash, html_extract, license_scan, line_dedup, lsa_decontam, packing, quality_rules, queries, repeated_spans, sharding, token_counts
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# 1: line deduplication
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
+def test_patience_is_an_alignment(a, b):
+    blocks = line_dedup.patience(a, b)
+    assert all(a[x : x + n] == b[y : y + n] for x, y, n in blocks)
+    assert all(p[0] + p[2] <= q[0] and p[1] + p[2] <= q[1] for p, q in itertools.pairwise(blocks))
+
+
+def test_patience_finds_moved_context():
+    assert line_dedup.patience([1, 2, 3, 4, 5], [9, 2, 3, 8, 4, 5]) == [(1, 1, 2), (3, 4, 2)]
+
+
+def test_line_dedup(spark):
+    block = [f"this is the shared line number {k} of a long block" for k in range(4)]
+    made = [(1, "\n".join(["first start", *block, "first end"])), (2, "\n".join(["second", "", *block, "tail"])), (3, "\n".join(["first start", *block, "first end"])), (4, "alone\nfirst end")]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(made, "doc_id long, text string"), report=True))
+    assert got[1].text == made[0][1] and got[1].n_removed == 0
+    assert got[2].text == "second\n\ntail" and got[2].n_removed == 4
+    assert got[3].text == "" and got[3].n_removed == 6
+    assert got[4].text == "alone\nfirst end"
+
+
+def test_frequent_lines_start_no_alignment(spark):
+    made = [(k, f"a line that each and every document of the corpus carries\nown line of document number {k} and nobody else") for k in range(30)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r.n_removed for r in line_dedup.dedup_lines(df, rare_share=0.1, rare_least=2, report=True).collect()} == {0}
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, rare_share=1.0, report=True).collect()} == {k: int(k > 0) for k in range(30)}
+
+
+# 2: main text
+
+PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use</div>
+<main><article><h1>T &amp; t</h1><p>One  <b>two</b>\n three<br>four</p><script>var x="</p>";</script><aside>Side</aside><ul><li>a<li>b</ul><div id="comments"><p>nice</p></div><form>Q<input></form><p>3 < 4 &lt;p&gt;</article></main>
+<div class="sidebar">s</div><footer>f</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_extract.Page(PAGE).main_text(set()) == "T & t\n\nOne two three four\n\na\n\nb\n\n3 < 4 <p>"
+    assert html_extract.Page("").main_text(set()) == "" and html_extract.Page("<p>x").main_text(set()) == "x"
+
+
+def test_templates_go_only_where_they_recur(spark):
+    page = lambda k, host: (k, f"http://{host}/{k}", f"<body><div><p>Follow us on our channels</p></div><div><h1>Title {k}</h1><p>{'word ' * 9}{k} {host}</p></div></body>")
+    pages = spark.createDataFrame([page(k, "a.example") for k in range(12)] + [page(k + 100, "b.example") for k in range(3)] + [(200, None, None)], "page_id long, url string, html string")
+    for bound in (html_extract.BROADCAST_ROWS, -1):
+        got = {r.page_id: r for r in html_extract.extract_main_text(pages, broadcast_rows=bound).collect()}
+        assert "Follow" not in got[3].text and got[3].text.startswith("Title 3\n\nword")
+        assert got[101].text.startswith("Follow us")
+        assert (got[200].text, got[200].n_chars) == ("", 0)
+
+
+def test_pages_against_their_articles(spark):
+    import html
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in queries.op2_html_extraction(spark, SF).collect():
+        article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1].replace("<br>", " ")
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", article)]
+        assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+# 3: near duplicates
+
+
+def shingled(text):
+    w = re.findall("[^ \t\n\v\f\r]+", text)
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
+
+
+def jaccard(a, b):
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def test_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(3)
+    keys = np.tile(np.arange(60, dtype=np.uint64) * np.uint64(7919) + np.uint64(11), 2)
+    text, weight = np.repeat([0, 1], 60), rng.integers(1, 9, 120)
+    sig = bagminhash.signatures(keys, text, weight, 2, 4096)
+    true = np.minimum(weight[:60], weight[60:]).sum() / np.maximum(weight[:60], weight[60:]).sum()
+    assert abs((sig[0] == sig[1]).mean() - true) < 4 * math.sqrt(true * (1 - true) / 4096)
+
+
+def test_near_duplicates(spark, rows):
+    sets = {k: shingled(t) for k, t in rows.items()}
+    parent = {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations([k for k in sets if sets[k]], 2):
+        if jaccard(sets[a], sets[b]) >= 0.8:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = by_id(queries.op3_minhash(spark, SF))
+    assert {k: r.class_id for k, r in got.items()} == {k: root(k) for k in sets}
+    assert {k for k, r in got.items() if r.kept} == {k for k in sets if root(k) == k}
+    assert all(got[k].n_shingles == sum(sets[k].values()) for k in sets)
+
+
+def test_links_between_classes_of_a_bucket(spark):
+    base = [f"w{k}" for k in range(200)]
+    chain = []
+    for k in range(30):  # each near the next one, far from the first
+        base = base[:]
+        for j in range(2):
+            base[(7 * k + 3 * j) % 200] = f"n{k}_{j}"
+        chain.append((k, " ".join(base)))
+    got = by_id(bagminhash.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string")))
+    assert {r.class_id for r in got.values()} == {0}
+
+
+def test_components(spark):
+    links = [(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in [(k, k + 1) for k in range(20)] + [(40, 41), (42, 41)]]
+    got = bagminhash.components(spark.createDataFrame(links, "a binary, b binary")).collect()
+    assert {int.from_bytes(r.key): int.from_bytes(r.label) for r in got} == {k: 0 for k in range(21)} | {40: 40, 41: 40, 42: 40}
+
+
+# 4: sharding
+
+
+def smallest_capacity(sizes, shards):
+    def fits(c):
+        n, at = 1, 0
+        for s in sizes:
+            if s > c:
+                return False
+            n, at = (n + 1, s) if at + s > c else (n, at + s)
+        return n <= shards
+
+    return next(c for c in range(sum(sizes) + 1) if fits(c))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_minimax_partition(spark, seed):
+    r = random.Random(seed)
+    groups = sorted({r.getrandbits(64) - (1 << 63): r.randrange(1, 60) for _ in range(300 if seed else 5)}.items())
+    lows, capacity = sharding.partition(spark.createDataFrame(groups, "h long, bytes long"), 7)
+    assert capacity == smallest_capacity([s for _, s in groups], 7)
+    loads = collections.Counter(sum(h >= low for low in lows) for h, _ in groups for _ in [0])
+    by_shard = collections.Counter()
+    for h, s in groups:
+        by_shard[sum(h >= low for low in lows)] += s
+    assert max(by_shard.values()) == capacity and len(loads) <= 7
+
+
+def test_partition_splits_cells_of_near_hashes(spark):
+    groups = [(k, 1 + k % 3) for k in range(1000)]  # all in one first cell
+    _, capacity = sharding.partition(spark.createDataFrame(groups, "h long, bytes long"), 6)
+    assert capacity == smallest_capacity([s for _, s in groups], 6)
+
+
+def test_shards(spark, rows):
+    got = queries.op4_sharding(spark, SF).collect()
+    assert len(got) == len(rows)
+    where, slots = collections.defaultdict(set), collections.defaultdict(list)
+    for r in got:
+        data = rows[r.doc_id].encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 8, zlib.crc32(data), "bytes", None)
+        where[data].add(r.shard)
+        slots[r.shard].append(r.slot)
+    assert all(len(s) == 1 for s in where.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(24))
+
+
+def test_one_huge_group_gets_its_own_shard(spark):
+    df = spark.range(300).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('copy ', 50) ELSE concat(id, repeat(' text', 50)) END AS text")
+    load = collections.Counter()
+    for r in sharding.shard_by_bytes(df, 8).collect():
+        load[r.shard] += r["size"]
+    assert len(load) == 8 and max(v for k, v in load.items() if k) < 1.2 * min(v for k, v in load.items() if k)
+
+
+# 5: packing
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), max_size=12))
+def test_plan_uses_each_piece_once(counts):
+    used, bins = collections.Counter(), 0
+    for times, chosen in packing.plan(counts, 32):
+        assert sum(s * n for s, n in chosen) <= 32
+        bins += times
+        used.update({s: n * times for s, n in chosen})
+    assert used == collections.Counter(counts)
+    assert bins <= 2 * -(-sum(s * n for s, n in counts.items()) // 32) + 1
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=9), st.integers(1, 30))
+def test_fill_is_closest(sizes, capacity):
+    counts = [0] * (max([capacity, 12]) + 1)
+    for s in sizes:
+        counts[s] += 1
+    best = max(sum(c) for n in range(len(sizes) + 1) for c in itertools.combinations(sizes, n) if sum(c) <= capacity)
+    chosen = packing.fill(counts, capacity)
+    assert sum(s * n for s, n in chosen) == best and all(n <= counts[s] for s, n in chosen)
+
+
+def test_packing(spark, rows):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = queries.op5_packing(spark, SF).collect()
+    sequences, pieces = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id].append(r)
+    for s in sequences.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
+    for k, text in rows.items():
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        own = sorted(pieces[k], key=lambda r: r.start)
+        assert sum(r.length for r in own) == len(ids) == own[0].doc_tokens
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own)
+    assert sum(n for s in sequences.values() for _, n in s) / (2048 * len(sequences)) > 0.97
+
+
+def test_special_strings_are_tokenized_as_the_library_does():
+    encoder = packing.Encoder("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a<|endoftext|>b", "", "  x\n\n\ty  ", "naïve 日本 😀 12345 don't"):
+        assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+# 6: licences
+
+
+def base_of(text):
+    words = re.findall(license_scan.WORD, "".join(c.lower() if c < "\x80" else c for c in text or ""))
+    hits = [(i, label) for phrase, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    starts = [i for i, _ in hits]
+    return len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in hits}))
+
+
+SAID = {
+    "CC BY cc-by CC.BY-SA 4.0": "cc-by,cc-by-sa-4.0", "Licensed under the GNU General Public License, version 3 or later.": "gpl,gpl-3.0-or-later", "MIT licensed": "", "a mit\nLicense here": "mit",
+    "released under the MIT License and the Apache License, Version 2.0": "apache,apache-2.0,mit", "ünlicense gnu general public licenses": "", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl-2.1-only",
+    "This is free and unencumbered software released into the public domain": "unlicense", "All rights reserved": "proprietary",
+}
+
+
+def test_licences(spark, rows):
+    for r in queries.op6_license_scan(spark, SF).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_of(rows[r.doc_id])
+        assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+    made = spark.createDataFrame(list(enumerate(SAID)), "doc_id long, text string")
+    got = by_id(license_scan.license_report(made))
+    assert {t: got[k].labels for k, t in enumerate(SAID)} == SAID
+    assert all((got[k].n_words, got[k].n_base, got[k].first_word, got[k].last_word, got[k].base_labels) == base_of(t) for k, t in enumerate(SAID))
+
+
+def test_rules_are_many_and_valid():
+    every = license_scan.rules()
+    assert len(every) >= 200 and all(re.compile(license_scan.framed(r)) for _, r, _, _ in every)
+
+
+# 7: token counts
+
+PARTS = ["a", "the", " ", "  ", "\n", "\t", ".", "é", "中", "😀", "▁", "\x00", "<s>", "\r\n", "   word"]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=10).map("".join), min_size=1, max_size=6))
+def test_counts_equal_the_library(texts):
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = [n for b in token_counts.counted(iter([batch]), "piece_bpe_32k.model", 3) for n in b.column(2).to_pylist()]
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert got == [len(x) for x in sp.encode(texts)]
+
+
+def test_token_counts(spark, rows):
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in queries.op7_token_counts(spark, SF).collect():
+        n = len(sp.encode(rows[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(rows[r.doc_id].encode()), n, n > 4096)
+
+
+# 8: decontamination
+
+
+def normal(text):
+    return " " + " ".join(re.findall("[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))) + " "
+
+
+def test_leaks(spark, rows):
+    items = {r.item_id: normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    planted = {(k, i) for k, t in rows.items() for i, x in items.items() if x in normal(t)}
+    got = {(r.doc_id, r.item_id) for r in queries.op8_decontamination(spark, SF).collect()}
+    assert planted and planted <= got
+    assert all(lcs_share(items[i].split(), normal(rows[k]).split()) >= 0.6 for k, i in got)
+
+
+def lcs_share(a, b):
+    line = [0] * (len(a) + 1)
+    for y in b:
+        last = 0
+        for i, x in enumerate(a):
+            last, line[i + 1] = line[i + 1], last + 1 if x == y else max(line[i + 1], line[i])
+    return line[-1] / len(a)
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=20), st.lists(st.integers(0, 5), max_size=30))
+def test_common(a, b):
+    assert lsa_decontam.common(lsa_decontam.masks_of(np.array(a, np.uint64)), len(a), b) == round(lcs_share(a, b) * len(a))
+
+
+def test_paraphrases_are_found_and_clean_texts_stay(spark):
+    r = random.Random(4)
+    words = [f"term{k}" for k in range(3000)]
+    item = [r.choice(words) for _ in range(40)]
+    changed = [w if k % 6 else "other" for k, w in enumerate(item)]
+    text = lambda *parts: " ".join(itertools.chain([r.choice(words) for _ in range(150)], *parts, [r.choice(words) for _ in range(150)]))
+    made = [(0, text(item)), (1, text(changed)), (2, text()), (3, text(item[:10])), *[(k, text()) for k in range(4, 40)]]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "")], "item_id long, text string")
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in lsa_decontam.contamination(df, bench).collect()} == {(0, 7), (1, 7)}
+    assert {x.doc_id for x in lsa_decontam.drop_contaminated(df, bench).collect()} == set(range(2, 40))
+    assert lsa_decontam.contamination(df, bench.limit(0)).isEmpty()
+
+
+# 9: repeated spans
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=60))
+def test_suffix_array(s):
+    assert repeated_spans.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_doubled():
+    s = np.random.default_rng(1).integers(0, 3, 200)
+    assert repeated_spans.doubled(s).tolist() == sorted(range(200), key=lambda i: s[i:].tolist())
+
+
+def shorn(rows, length=50):
+    seen, out = {}, {}
+    for k, text in sorted(rows, key=lambda r: r[0]):
+        b = (text or "").encode()
+        gone = np.zeros(len(b), bool)
+        own = [b[i : i + length] for i in range(len(b) - length + 1)]
+        for i, w in enumerate(own):
+            if seen.get(w, k) < k:
+                gone[i : i + length] = True
+        for w in own:
+            seen.setdefault(w, k)
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out[k] = (len(b), int(gone.sum()), int((np.diff(np.append(0, gone.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_repeated_spans(spark, rows):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op9_suffix_dedup(spark, SF).collect()}
+    assert got == shorn(list(rows.items()))
+
+
+@pytest.mark.parametrize("frequent", [25, 1])
+def test_repeats_in_periodic_and_overlapping_texts(spark, monkeypatch, frequent):
+    monkeypatch.setattr(repeated_spans, "FREQUENT", frequent)
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(90))
+    made = [(k, "".join(r.choice("xyz ") for _ in range(r.randrange(60))) + passage[r.randrange(30) : 60 + r.randrange(30)] + "é" * r.randrange(3) + "".join(r.choice("uvw ") for _ in range(40))) for k in range(60)]
+    made += [(100, "a" * 400), (101, "a" * 700 + "b"), (102, "ab" * 300), (103, "ab" * 310), (104, "a" * 49), (105, ""), (106, None)]
+    got = repeated_spans.remove_repeats(spark.createDataFrame(made, "doc_id long, text string"))
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()} == shorn(made)
+
+
+# 10: quality rules
+
+
+def counted(text):
+    w = re.findall("[^\x20\x09-\x0d]+", text or "")
+    windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    n = collections.Counter(windows)
+    covered = {j for i, x in enumerate(windows) if n[x] > 1 for j in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)
+
+
+def test_quality(spark, docs, rows):
+    got = queries.op10_quality_rules(spark, SF).collect()
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == counted(rows[r.doc_id])
+        assert not (r.base_failed and r.kept)
+    kept = {r.doc_id for r in quality_rules.keep_good(docs).collect()}
+    assert kept == {r.doc_id for r in got if r.kept}
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    clean = [k for k, x in labels.items() if x.quality == 1 and x.toxic == 0 and not counted(rows[k])[5]]
+    junk = [k for k, x in labels.items() if x.quality == 0]
+    assert len([k for k in clean if k in kept]) >= 0.97 * len(clean) and len([k for k in junk if k in kept]) <= 0.1 * len(junk)
+
+
+def test_posteriors_follow_single_rules():
+    good = sum((2 if j in (6, 7) else 1) * 3 ** (8 - j) for j in range(9))  # long enough, and sentences end
+    clean, code = good, lambda j, v: good + (v - 1) * 3 ** (8 - j)
+    counts = {clean: 900} | {code(j, 0): 20 for j in (0, 2, 3)}
+    post = quality_rules.posteriors(counts)
+    assert post[clean] > 0.7 and all(post[code(j, 0)] < 0.5 for j in (0, 2, 3))
+    assert quality_rules.posteriors({}) == {}
+
+
+# All: odd rows and empty tables
+
+
+def cases():
+    return {
+        "lines": lambda d: line_dedup.dedup_lines(d, report=True), "near": bagminhash.near_duplicates, "shards": sharding.shard_by_bytes, "pack": packing.pack, "licences": license_scan.license_report,
+        "tokens": token_counts.token_counts, "repeats": repeated_spans.remove_repeats, "quality": quality_rules.quality_report,
+    }
+
+
+@pytest.mark.parametrize("name", sorted(cases()))
+def test_odd_rows(odd, none, name):
+    got = cases()[name](odd).collect()
+    assert collections.Counter(r.doc_id for r in got if name != "pack" or r.start == 0) == collections.Counter([1, 2, 3, None, 4, 5, 5, 6, None])
+    assert cases()[name](none).collect() == []
+
+
+def test_odd_rows_of_tables(spark, odd, none):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert {r.doc_id for r in lsa_decontam.contamination(odd, bench).collect()} == {None}
+    assert lsa_decontam.contamination(none, bench).isEmpty()
+    for keep in (quality_rules.keep_good, line_dedup.dedup_lines, bagminhash.drop_near_duplicates, lambda d: lsa_decontam.drop_contaminated(d, bench)):
+        assert keep(odd).columns == odd.columns and keep(none).isEmpty()
+    same = bagminhash.drop_near_duplicates(odd).where("text like 'same%'").collect()
+    assert [r.doc_id for r in same] == [4]
+    pages = odd.selectExpr("doc_id AS page_id", "key AS url", "text AS html", "text", "1 AS page")
+    assert html_extract.extract_main_text(pages).count() == 9 and html_extract.extract_main_text(pages.limit(0)).isEmpty()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id for r in docs.collect()}
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in docs.collect()} <= before
+    assert {r.doc_id for r in got} == {r.doc_id for r in docs.collect()}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "packing"]
