@@ -10,9 +10,10 @@ most shingles make one point.
 
 Signatures are banded. In each bucket every text is paired with one centre, pairs are verified by
 exact multiset overlap, and verified links are joined into classes. Texts of one bucket that are still in
-different classes are then paired with each other and verified too, so no link between classes is
-lost; texts in buckets of many classes must share a second band for that, which texts with a similarity of
-0.8 do but in 3 of 1,000 cases. Equal texts are one node, so copies are never paired.
+different classes are then paired with each other and verified too, so no link between classes is lost. In small
+buckets that is all pairs; texts of larger ones are matched by prefix filtering, which is exact: with items
+ordered from rare to frequent, similar texts share one of their first n - ceil(0.8 n) + 1 items, so texts that
+only share a frequent passage never meet. Equal texts are one node, so copies are never paired.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalgraph.llm.blocks import Prefix, chunks, mixed, replicas, shingles, words
 from shoalgraph.llm.runtime import cut, prepare, text_or_empty
 
-SHINGLE, BANDS, ROWS = 5, 16, 4
-#: Texts of a bucket with more classes than this must share a second band.
+SHINGLE, BANDS, ROWS = 5, 20, 5
+#: Texts of a bucket with more open texts than this are matched by prefix filtering.
 CROWDED = 24
 C1, C2 = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -177,6 +178,45 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     return out.select("doc_id", "class_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
+def sized(least: float):
+    """Texts x and y are of sizes that can be similar."""
+    return (F.col("x.n") >= least * F.col("y.n")) & (F.col("y.n") >= least * F.col("x.n"))
+
+
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns key, text -> a row for each item of the multiset."""
+    for batch in sets(batches):
+        items = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+        index = np.repeat(np.arange(len(items)), [len(x) for x in items])
+        every = np.concatenate(items) if items else np.zeros(0, np.int64)
+        for lo in range(0, len(index), 100_000):
+            part = index[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), pa.array(every[lo : lo + 100_000])], ["key", "item"])
+
+
+def prefix_pairs(pool: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of pool texts (key, n, label) of different labels that share an item of their prefixes.
+
+    Items that only one pool text has come first in its order and match nothing, so texts with enough of them drop
+    out. Items whose holders are all of one label are left out; of the others, only holders that aren't of
+    the item's most frequent label are paired with all its holders.
+    """
+    once = texts.join(pool.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    items = once.mapInArrow(listed, "key binary, item long")
+    shared = items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
+    held = items.join(shared, "item").join(pool, "key")
+    own = Window.partitionBy("key")
+    first = F.row_number().over(own.orderBy("c", "item")) + F.col("n") - F.count("*").over(own)
+    prefix = held.withColumn("_rank", first).where(F.col("_rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("item", "key", "n", "label")
+    prefix = cut(prefix)
+    by_label = prefix.groupBy("item", "label").agg(F.count("*").alias("c"))
+    major = by_label.groupBy("item").agg(F.max_by("label", "c").alias("major"), F.count("*").alias("k")).where("k > 1").drop("k")
+    x = prefix.alias("x")
+    y = prefix.join(major, "item").where(F.col("label") != F.col("major")).select("item", "key", "n", "label").alias("y")
+    both = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.label") != F.col("y.label")) & sized(least))
+    return both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, key, n) of every row, (key, label) of texts in classes of several, and the links between texts."""
     key = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
@@ -192,17 +232,14 @@ def classes(docs: DataFrame, least: float, id_col: str, text_col: str) -> tuple[
     links = linked(cut(stars), texts, least)
     labels = components(links)
     left = crowd.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    split = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_distinct("label").alias("c")).where("lo != hi").select("bucket", "c")
+    split = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("bucket", "c")
     open_ = cut(left.join(split, "bucket").select("bucket", "c", "key", "n", "label"))
-    few = open_.where(F.col("c") <= CROWDED).select("bucket", "key", "n", "label")
-    other = nodes.select("key", F.explode("bands").alias("second"))
-    many = open_.where(F.col("c") > CROWDED).join(other, "key").where(F.col("second") != F.col("bucket"))
-    many = many.select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "key", "n", "label").distinct()
-    pool = few.unionByName(many)
-    x, y = pool.alias("x"), pool.alias("y")
-    sized = (F.col("x.n") >= least * F.col("y.n")) & (F.col("y.n") >= least * F.col("x.n"))
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & sized)
-    rest = cut(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    few = open_.where(F.col("c") <= CROWDED)
+    x, y = few.alias("x"), few.alias("y")
+    near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & sized(least))
+    near = near.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    many = prefix_pairs(open_.where(F.col("c") > CROWDED).select("key", "n", "label").distinct(), texts, least)
+    rest = cut(near.unionByName(many).distinct().join(stars, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = linked(rest, texts, least)
         if not more.isEmpty():

@@ -35,6 +35,8 @@ GONE = frozenset("head script style noscript template iframe object embed applet
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "body", "html", "legend"}
 #: Words in class, id or role that mark what isn't the article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored sponsors promo promos promotion sidebar sidebars aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar header footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager toolbar copyright legal disclaimer skip search searchbox contentinfo complementary dialog".split())
+# Words that make such a name one of a layout.
+LAYOUT = frozenset("has with no without".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -52,11 +54,17 @@ def marked(attrs: str) -> bool:
         if name == "style":
             if "display:none" in value.replace(" ", "").lower():
                 return True
-        elif not MARKS.isdisjoint(SPLIT.split(CAMEL.sub(r"\1 \2", value).lower())):
+        elif any(named(one) for one in value.split()):
             return True
     return False
 
 
+def named(one: str) -> bool:
+    """A class name, id or role that holds a mark, and doesn't only say that the page has (or lacks) such a part."""
+    parts = SPLIT.split(CAMEL.sub(r"\1 \2", one).lower())
+    return not MARKS.isdisjoint(parts) and LAYOUT.isdisjoint(parts)
+
+
 def role_main(attrs: str) -> bool:
     return "main" in attrs and any(n.lower() == "role" and (a or b or c) == "main" for n, a, b, c in ATTR.findall(attrs))
 

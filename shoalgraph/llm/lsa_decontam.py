@@ -32,6 +32,8 @@ from shoalgraph.llm.runtime import prepare, text_or_empty
 ITEMS, RANK, OVER, SEED = 1024, 192, 16, 7
 #: Terms in more than this share of the blocks are stop words.
 MAX_DF = 0.05
+#: Slots of the filter for words that can't be terms.
+FILTER = 1 << 18
 
 
 @dataclass
@@ -48,12 +50,16 @@ class Model:
     queries: np.ndarray = field(default=None)
 
     def __post_init__(self):
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[self.vocab & np.uint64(0xFFFF)] = True
+        self.look_for(self.vocab)
+
+    def look_for(self, terms: np.ndarray) -> None:
+        """Words that share no low bits with one of the terms are skipped unseen."""
+        self.filter = np.zeros(FILTER, bool)
+        self.filter[terms & np.uint64(FILTER - 1)] = True
 
     def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are terms, and their numbers."""
-        at = np.flatnonzero(self.filter[h & np.uint64(0xFFFF)])
+        at = np.flatnonzero(self.filter[(h & np.uint64(FILTER - 1)).astype(np.int64)])
         k = np.searchsorted(self.vocab, h[at])
         k[k == len(self.vocab)] = 0
         ok = self.vocab[k] == h[at] if len(self.vocab) else np.zeros(len(at), bool)
@@ -245,6 +251,7 @@ def models(texts: DataFrame, benchmark: DataFrame, cosine: float, lcs: float) ->
         model.idf = np.where(share > max(MAX_DF, 2 / total), 0.0, np.log((1 + total) / (1 + share * total)) + 1)
         if not model.idf.any():
             model.idf[:] = 1
+        model.look_for(model.vocab[model.idf > 0])
         width = min(len(model.vocab), RANK + OVER)
         shared = spark.sparkContext.broadcast(model)
         rows_of = texts.mapInArrow(lambda it, s=shared, w=width: sketches(it, s.value, w), "term int, row binary")

@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalgraph.llm.blocks import Prefix, chunks, mixed
-from shoalgraph.llm.runtime import cut, prepare, text_or_empty
+from shoalgraph.llm.runtime import cut, prepare, release, text_or_empty
 
 #: Bytes of the substrings that minimizers are chosen from.
-GRAM = 24
+GRAM = 20
+#: Strings in a run at most; longer ones (of periodic text) are cut there.
+LONGEST = 255
 #: Documents in the sample for routing, and in how many of them a minimizer is frequent.
 SAMPLED, FREQUENT = 5000, 25
 FLUSH, SORTED = 8 << 20, 1 << 20
@@ -123,6 +125,11 @@ def runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
     stop = np.append(lo[1:], len(whole))
     text = np.searchsorted(offsets, lo, side="right") - 1
     stop = np.minimum(stop, offsets[text + 1] - length + 1)
+    if len(lo) and (stop - lo).max() > LONGEST:
+        parts = -(-(stop - lo) // LONGEST)
+        run = np.repeat(np.arange(len(lo)), parts)
+        lo = lo[run] + LONGEST * (np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts))
+        text, stop = text[run], np.minimum(stop[run], lo + LONGEST)
     return least[lo], prefix.spans(lo, stop + length - 1), text, lo - offsets[text], stop - lo
 
 
@@ -145,27 +152,32 @@ def settled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Runs as bytes, column by column, each (document, row) once."""
+    """Runs as bytes, column by column, each (document, row) once; 32 bits (never all 0) of a minimizer tell it apart in its bucket."""
     rows, first, at = np.unique(x["row"], return_index=True, return_inverse=True)
-    wide = len(rows) >= 1 << 16
-    head = np.array([len(x), len(rows), wide], "<i8").tobytes()
-    at = at.astype("<u4" if wide else "<u2")
-    return head + x["doc"][first].tobytes() + rows.tobytes() + x["h"].tobytes() + x["body"].tobytes() + at.tobytes() + x["lo"].tobytes() + x["n"].tobytes()
+    many, far = len(rows) >= 1 << 16, len(x) and int(x["lo"].max()) >= 1 << 24
+    head = np.array([len(x), len(rows), many, far], "<i8").tobytes()
+    h = np.where(x["h"] == 0, 0, x["h"] | np.uint64(1)).astype("<u4")
+    low = x["lo"].astype("<u4").tobytes() if far else x["lo"].astype("<u2").tobytes() + (x["lo"] >> 16).astype("u1").tobytes()
+    return head + x["doc"][first].tobytes() + rows.tobytes() + h.tobytes() + x["body"].tobytes() + at.astype("<u4" if many else "<u2").tobytes() + low + x["n"].astype("u1").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    n, m, wide = np.frombuffer(data, "<i8", 3).tolist()
-    at = 24
-    docs, rows = np.frombuffer(data, "<i8", m, at), np.frombuffer(data, "<i8", m, at + 8 * m)
-    at += 16 * m
-    x = np.empty(n, RUN)
-    for name, kind in (("h", "<u8"), ("body", "<u8"), ("at", "<u4" if wide else "<u2"), ("lo", "<u4"), ("n", "<u4")):
-        col = np.frombuffer(data, kind, n, at)
+    n, m, many, far = np.frombuffer(data, "<i8", 4).tolist()
+    at = 32
+
+    def column(kind: str, size: int) -> np.ndarray:
+        nonlocal at
+        col = np.frombuffer(data, kind, size, at)
         at += col.nbytes
-        if name == "at":
-            x["doc"], x["row"] = docs[col], rows[col]
-        else:
-            x[name] = col
+        return col
+
+    docs, rows = column("<i8", m), column("<i8", m)
+    x = np.empty(n, RUN)
+    x["h"], x["body"] = column("<u4", n), column("<u8", n)
+    own = column("<u4" if many else "<u2", n)
+    x["doc"], x["row"] = docs[own], rows[own]
+    x["lo"] = column("<u4", n) if far else column("<u2", n) + (column("u1", n).astype("<u4") << 16)
+    x["n"] = column("u1", n)
     return x
 
 
@@ -421,8 +433,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     shared = spark.sparkContext.broadcast(often)
     parcel = "bucket int, kind int, data binary"
     found = "doc_id long, row long, lo int, n int, look boolean"
-    first = long.mapInArrow(lambda it: dealt(it, length, shared.value, buckets), parcel).repartition("bucket").mapInArrow(compared, found)
-    first = cut(first)
+    first = cut(long.mapInArrow(lambda it: dealt(it, length, shared.value, buckets), parcel).repartition("bucket").mapInArrow(compared, found))
+    release(spark)
     by_row = first.where("look").groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("x"))
     source = known.select("doc_id", "row", "text")
     asked = source.join(by_row.select("doc_id", "row", F.col("x.lo").alias("los"), F.col("x.n").alias("ns")), ["doc_id", "row"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -37,13 +38,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage, so that a lost executor costs no recomputation.
+    """Writes df to the shared checkpoint folder and cuts its lineage, so that a lost executor costs no recomputation."""
+    return df.checkpoint(eager=True)
 
-    A Java garbage collection follows, as Spark frees shuffle files of finished stages only after one.
-    """
-    done = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return done
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more; it does so only after a garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
