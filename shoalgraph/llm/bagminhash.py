@@ -145,12 +145,11 @@ def components(links: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     edges = cut(links.select(F.greatest(low, high).alias("u"), F.least(low, high).alias("v")).where(F.col("u") != F.col("v")).distinct())
     mark = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low_of = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low_of, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        small = large.join(low_of, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
         edges = cut(small.where(F.col("u") != F.col("v")).distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
