@@ -412,7 +412,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     spark = prepare(docs.sparkSession)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * tasks
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
@@ -438,7 +439,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     by_row = first.where("look").groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("x"))
     source = known.select("doc_id", "row", "text")
     asked = source.join(by_row.select("doc_id", "row", F.col("x.lo").alias("los"), F.col("x.n").alias("ns")), ["doc_id", "row"])
-    sorted_ = asked.mapInArrow(lambda it: opened(it, length, shared.value, buckets), parcel).repartition("bucket").mapInArrow(lambda it: sorted_buckets(it, length), found)
+    sorted_ = asked.mapInArrow(lambda it: opened(it, length, shared.value, tasks), parcel).repartitionById(tasks, F.col("bucket")).mapInArrow(lambda it: sorted_buckets(it, length), found)
     covered = first.where("not look").unionByName(sorted_).select("doc_id", "row", "lo", "n")
     lists = covered.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "n")).alias("x")).select("doc_id", "row", F.col("x.lo").alias("los"), F.col("x.n").alias("ns"))
     joined = source.join(lists, ["doc_id", "row"], "left").select(F.col("doc_id").cast(kind).alias("doc_id"), "text", "los", "ns")
