@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that nothing refers to any more; it does so only after a garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, rounds: int = 3) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more; it does so only after a garbage collection.
+
+    Events of the last query still hold its plan for a moment after it ends, so the collection is repeated.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
