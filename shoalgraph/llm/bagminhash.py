@@ -183,14 +183,15 @@ def sized(least: float):
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns key, text -> a row for each item of the multiset."""
+    """Columns key, text -> a row for each item of the multiset, with the multiset's size."""
     for batch in sets(batches):
         items = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-        index = np.repeat(np.arange(len(items)), [len(x) for x in items])
+        size = np.array([len(x) for x in items], np.int64)
+        index = np.repeat(np.arange(len(items)), size)
         every = np.concatenate(items) if items else np.zeros(0, np.int64)
         for lo in range(0, len(index), 100_000):
             part = index[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), pa.array(every[lo : lo + 100_000])], ["key", "item"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), pa.array(every[lo : lo + 100_000]), pa.array(size[part])], ["key", "item", "n"])
 
 
 def prefix_pairs(pool: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -201,13 +202,13 @@ def prefix_pairs(pool: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     the item's most frequent label are paired with all its holders.
     """
     once = texts.join(pool.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    items = once.mapInArrow(listed, "key binary, item long")
+    items = once.mapInArrow(listed, "key binary, item long, n long")
     shared = items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
-    held = items.join(shared, "item").join(pool, "key")
+    held = items.join(shared, "item")
     own = Window.partitionBy("key")
     first = F.row_number().over(own.orderBy("c", "item")) + F.col("n") - F.count("*").over(own)
-    prefix = held.withColumn("_rank", first).where(F.col("_rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("item", "key", "n", "label")
-    prefix = cut(prefix)
+    prefix = held.withColumn("_rank", first).where(F.col("_rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("item", "key", "n")
+    prefix = cut(prefix.join(pool.select("key", "label"), "key"))
     by_label = prefix.groupBy("item", "label").agg(F.count("*").alias("c"))
     major = by_label.groupBy("item").agg(F.max_by("label", "c").alias("major"), F.count("*").alias("k")).where("k > 1").drop("k")
     x = prefix.alias("x")
