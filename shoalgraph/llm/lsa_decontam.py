@@ -13,6 +13,11 @@ other words can't add to a similarity. Three scans of all documents, none of whi
    a leak if the longest common subsequence of item and passage, within a stretch of 1.5 item lengths,
    covers enough of the item, or somewhat less of it together with nearly all of its answer (the last third).
 
+Two more ways make a candidate, as frequent terms have no weight in the cosine. Every place where an item stands
+word for word is one, found from the item's rarest word. And an item that leaks so often that its own words
+are frequent, so that stop words hold more of its weight than ``TRUSTED`` allows, is not left to the cosine: each passage that
+holds 0.6 of its words is a candidate, which misses no leak, as a leak has that share in common with its passage.
+
 The benchmark is taken in blocks of ``ITEMS`` items, so that what is broadcast stays bounded.
 """
 
@@ -32,6 +37,10 @@ from shoalgraph.llm.runtime import prepare, text_or_empty
 ITEMS, RANK, OVER, SEED = 1024, 192, 16, 7
 #: Terms in more than this share of the blocks are stop words.
 MAX_DF = 0.05
+#: Items of which terms that aren't stop words hold less than this share of the weight are searched by their words.
+TRUSTED = 0.8
+#: Share of an item's words that any leak has.
+LEAST = 0.6
 #: Slots of the filter for words that can't be terms.
 FILTER = 1 << 18
 
@@ -48,6 +57,10 @@ class Model:
     idf: np.ndarray = field(default=None)
     basis: np.ndarray = field(default=None)  # idf times right singular vectors
     queries: np.ndarray = field(default=None)
+    anchors: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # term -> items of which it is the rarest, and where
+    hot: np.ndarray = field(default=None)  # items that leak too often for the cosine
+    columns: np.ndarray = field(default=None)  # column in times of each term, or -1
+    times: np.ndarray = field(default=None)  # how often each hot item holds each of their terms
 
     def __post_init__(self):
         self.look_for(self.vocab)
@@ -57,6 +70,28 @@ class Model:
         self.filter = np.zeros(FILTER, bool)
         self.filter[terms & np.uint64(FILTER - 1)] = True
 
+    def search(self, df: np.ndarray, total: int) -> None:
+        """Weights of the terms, and what finds leaks that the cosine can't see."""
+        smooth = np.log((1 + total) / (1 + df)) + 1
+        self.idf = np.where(df / total > max(MAX_DF, 2 / total), 0.0, smooth)
+        places = [np.searchsorted(self.vocab, x) for x in self.items]
+        for i, x in enumerate(places):
+            at = int(np.argmin(df[x]))
+            self.anchors.setdefault(int(x[at]), []).append((i, at))
+        kept = [(smooth[t] ** 2)[self.idf[t] > 0].sum() / (smooth[t] ** 2).sum() for t in map(np.unique, places)]
+        self.hot = np.flatnonzero(np.array(kept) < TRUSTED)
+        terms = np.unique(np.concatenate([places[i] for i in self.hot])) if len(self.hot) else np.zeros(0, np.int64)
+        self.columns = np.full(len(self.vocab), -1)
+        self.columns[terms] = np.arange(len(terms))
+        self.times = np.zeros((len(terms), len(self.hot)), np.float32)
+        for j, i in enumerate(self.hot):
+            np.add.at(self.times[:, j], self.columns[places[i]], 1)
+        if not self.idf.any():
+            self.idf[:] = 1
+        seen = (self.idf > 0) | (self.columns >= 0)
+        seen[list(self.anchors)] = True
+        self.look_for(self.vocab[seen])
+
     def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are terms, and their numbers."""
         at = np.flatnonzero(self.filter[(h & np.uint64(FILTER - 1)).astype(np.int64)])
@@ -72,11 +107,11 @@ def hashed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return Prefix(buf).spans(start, end), before
 
 
-def blocked(model: Model, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def blocked(model: Model, h: np.ndarray, before: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(block, term) pairs once each, the first block of every text (and the end)."""
     n = np.diff(before)
     first = np.append(0, np.cumsum(np.maximum(1, -(-n // model.stride))))
-    at, term = model.terms(h)
+    at, term = model.terms(h) if found is None else found
     text = np.searchsorted(before, at, side="right") - 1
     block = first[text] + (at - before[text]) // model.stride
     pair = np.unique(block * len(model.vocab) + term)
@@ -172,7 +207,7 @@ def masks_of(item: np.ndarray) -> dict[int, int]:
 def alike(item: np.ndarray, masks: dict[int, int], answer: dict[int, int], passage: list[int], lcs: float) -> tuple[float, int]:
     """Share of the item found in order within a stretch of 1.5 item lengths (0 if that is no leak), and where."""
     m = len(item)
-    if common(masks, m, passage) < 0.6 * m:
+    if common(masks, m, passage) < LEAST * m:
         return 0.0, 0
     wide, best, where = -(-3 * m // 2), 0, 0
     for at in range(0, max(1, len(passage) - m + 1), max(1, m // 8)):
@@ -185,11 +220,60 @@ def alike(item: np.ndarray, masks: dict[int, int], answer: dict[int, int], passa
     if share >= lcs:
         return share, where
     last = max(4, m // 3)
-    if share >= 0.6 and common(answer, last, passage[where : where + wide]) >= 0.9 * last:
+    if share >= LEAST and common(answer, last, passage[where : where + wide]) >= 0.9 * last:
         return share, where
     return 0.0, 0
 
 
+def verbatim(model: Model, h: np.ndarray, before: np.ndarray, at: np.ndarray, term: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passages and the items that stand in them word for word, wherever the text holds them."""
+    anchored = np.zeros(len(model.vocab), bool)
+    anchored[list(model.anchors)] = True
+    own = anchored[term]
+    at, term = at[own], term[own]
+    order = np.argsort(term, kind="stable")
+    at, term = at[order], term[order]
+    text = np.searchsorted(before, at, side="right") - 1
+    edges = np.append(np.flatnonzero(np.append(True, term[1:] != term[:-1])), len(term)) if len(term) else [0]
+    passages, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        for k, offset in model.anchors[int(term[lo])]:
+            item = model.items[k]
+            start, of = at[lo:hi] - offset, text[lo:hi]
+            ok = (start >= before[of]) & (start + len(item) <= before[of + 1])
+            start, of = start[ok], of[ok]
+            for j, word in enumerate(item):
+                if not len(start):
+                    break
+                ok = h[start + j] == word
+                start, of = start[ok], of[ok]
+            passages.append(first[of] + (start - before[of]) // model.stride)
+            items.append(np.full(len(start), k))
+    return np.concatenate(passages), np.concatenate(items)
+
+
+def worded(model: Model, block: np.ndarray, term: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passages and the hot items of which they hold enough words for a leak."""
+    passages, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(model.hot):
+        column = model.columns[term]
+        block, column = block[column >= 0], column[column >= 0]
+        need = LEAST * np.array([len(model.items[i]) for i in model.hot]) - 1e-3
+        step = 512
+        for lo in range(0, len(tail), step):
+            hi = min(len(tail), lo + step)
+            a, b = np.searchsorted(block, [lo, hi + 1])
+            if a == b:
+                continue
+            x = np.zeros((hi - lo + 1, len(model.times)), np.float32)
+            x[block[a:b] - lo, column[a:b]] = 1
+            pair = np.where(tail[lo:hi, None], x[:-1], np.maximum(x[:-1], x[1:]))
+            i, k = np.nonzero(pair @ model.times >= need)
+            passages.append(i + lo)
+            items.append(model.hot[k])
+    return np.concatenate(passages), np.concatenate(items)
+
+
 def leaks(batches: Iterator[pa.RecordBatch], model: Model, column: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, float, float, int]]]]:
     """Each batch with its (row, item, cosine, share, first word) of leaks, the best for each row and item."""
     masks = [masks_of(x) for x in model.items]
@@ -198,22 +282,28 @@ def leaks(batches: Iterator[pa.RecordBatch], model: Model, column: int) -> Itera
         best: dict[tuple[int, int], tuple[float, float, int]] = {}
         for lo, _, buf, offsets in chunks(batch.column(column)):
             h, before = hashed(buf, offsets)
-            block, term, first, n = blocked(model, h, before)
+            found = model.terms(h)
+            block, term, first, _ = blocked(model, h, before, found)
+            tail = np.zeros(int(first[-1]), bool)
+            tail[first[1:] - 1] = True
+            exact = [verbatim(model, h, before, *found, first), worded(model, block, term, tail)]
+            sure = np.unique(np.concatenate([b * len(model.items) + k for b, k in exact]))
             keep = model.idf[term] > 0
             block, term = block[keep], term[keep]
-            if not len(block):
+            if not len(block) and not len(sure):
                 continue
             x = summed_rows(block, model.basis[term], int(first[-1]))
-            tail = np.zeros(int(first[-1]), bool)
-            tail[first[1:] - 1] = True
             pair = x.copy()
             pair[:-1][~tail[:-1]] += x[1:][~tail[:-1]]
             length = np.sqrt((pair**2).sum(axis=1))
-            full = np.flatnonzero(length > 1e-6)
+            full = np.flatnonzero((length > 1e-6) | np.isin(np.arange(len(tail)), sure // len(model.items)))
             for a in range(0, len(full), 4096):
                 own = full[a : a + 4096]
-                cos = pair[own] @ model.queries.T / length[own][:, None]
-                for i, k in zip(*np.nonzero(cos >= model.cosine), strict=True):
+                cos = pair[own] @ model.queries.T / np.maximum(length[own], 1e-6)[:, None]
+                chosen = cos >= model.cosine
+                mine = sure[np.isin(sure // len(model.items), own)]
+                chosen[np.searchsorted(own, mine // len(model.items)), mine % len(model.items)] = True
+                for i, k in zip(*np.nonzero(chosen), strict=True):
                     b = int(own[i])
                     text = int(np.searchsorted(first, b, side="right")) - 1
                     start = int(before[text]) + (b - int(first[text])) * model.stride
@@ -247,11 +337,7 @@ def models(texts: DataFrame, benchmark: DataFrame, cosine: float, lcs: float) ->
         counts = texts.mapInArrow(lambda it, s=shared: frequencies(it, s.value), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
         df = {r["term"]: r["n"] for r in counts.collect()}
         total = max(1, df.pop(-1, 0))
-        share = np.array([df.get(k, 0) for k in range(len(model.vocab))]) / total
-        model.idf = np.where(share > max(MAX_DF, 2 / total), 0.0, np.log((1 + total) / (1 + share * total)) + 1)
-        if not model.idf.any():
-            model.idf[:] = 1
-        model.look_for(model.vocab[model.idf > 0])
+        model.search(np.array([df.get(k, 0) for k in range(len(model.vocab))], float), total)
         width = min(len(model.vocab), RANK + OVER)
         shared = spark.sparkContext.broadcast(model)
         rows_of = texts.mapInArrow(lambda it, s=shared, w=width: sketches(it, s.value, w), "term int, row binary")

@@ -364,6 +364,18 @@ def test_paraphrases_are_found_and_clean_texts_stay(spark):
     assert lsa_decontam.contamination(df, bench.limit(0)).isEmpty()
 
 
+def test_an_item_that_leaks_into_a_third_of_the_rows_is_found(spark):
+    r = random.Random(8)
+    words = [f"term{k}" for k in range(3000)]
+    item, rare, short = ([r.choice(words) for _ in range(n)] for n in (40, 40, 4))
+    changed = [w if k % 6 else "other" for k, w in enumerate(item)]
+    text = lambda part: " ".join([*(r.choice(words) for _ in range(r.randrange(20, 70))), *part, *(r.choice(words) for _ in range(r.randrange(20, 70)))])
+    made = [(k, text([item, changed, item[:10]][k % 3] if k < 45 else [])) for k in range(90)] + [(90, text(rare)), (91, text(short))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(rare)), (9, " ".join(short))], "item_id long, text string")
+    got = lsa_decontam.contamination(spark.createDataFrame(made, "doc_id long, text string"), bench).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(k, 7) for k in range(45) if k % 3 < 2} | {(90, 8), (91, 9)}
+
+
 # 9: repeated spans
 
 
