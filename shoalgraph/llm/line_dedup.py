@@ -1,13 +1,15 @@
 """Line-level deduplication by pairwise alignment.
 
 Each line that isn't blank is hashed. A line belongs to the first document (by id) that holds it; a later
-document that shares a rare line with its owner is overlapping it, and the two are aligned with patience
+document that shares a line with its owner is overlapping it, and the two are aligned with patience
 diff on their line hashes. Aligned common blocks are deleted from the later document when they
-are long enough not to be chance. A document is paired with owners only, so the number of pairs is at most the
-number of lines, however many copies a line has.
+are long enough not to be chance. Runs of lines that are just long enough for that belong to their first document in the
+same way: every line of a block that two documents share lies in such a run, so a block is paired with a document that
+holds it also where each of its lines stood alone in earlier ones. A document is paired with owners only, so the number
+of pairs grows with the number of lines, however many copies a line has.
 
-A line is rare if at most ``rare_share`` of all documents (at least ``rare_least`` documents) hold
-it; frequent lines start no alignment but are aligned where a rare one did. Exact copies are no evidence of
+``rare_share`` and ``rare_least`` are for callers who want frequent lines to stay: lines and runs that more documents hold
+then start no alignment. Unless they are asked for there is no such bound. Exact copies are no evidence of
 frequency: equal texts are counted once, and a later equal text is deleted whole against the first.
 
 What travels is line hashes, 8 bytes a line; texts are shuffled once, to delete lines from them.
@@ -18,11 +20,13 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoalgraph.llm.blocks import mixed, powers
 from shoalgraph.llm.runtime import cut, prepare, text_or_empty
 
 WHITE = " \t\x0b\x0c\r"
@@ -97,11 +101,38 @@ def alignments(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(out, pa.list_(pa.int32()))], ["later", "gone"])
 
 
+def starts(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, lines, sizes -> doc_id and, once each, its lines and its shortest runs of ``min_chars`` from or up to each line."""
+    for batch in batches:
+        h = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        size = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+        offsets = batch.column(1).offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        length = np.append(0, np.cumsum(size, dtype=np.int64))
+        power, inverse = powers(len(h) + 1)
+        sums = np.append(np.uint64(0), np.cumsum(h * power[: len(h)]))
+        at = np.arange(len(h))
+        end = np.searchsorted(length, length[:-1] + min_chars)
+        first = np.searchsorted(length, length[1:] - min_chars, side="right") - 1
+        a, b = end <= offsets[1:][row], first >= offsets[:-1][row]
+        lo, hi, of = np.append(at[a], first[b]), np.append(end[a], at[b] + 1), np.append(row[a], row[b])
+        more = hi - lo > 1
+        lo, hi, of = lo[more], hi[more], of[more]
+        runs = mixed((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+        keys, of = np.append(h, runs), np.append(row, of)
+        order = np.lexsort((keys, of))
+        keys, of = keys[order], of[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[new])), pa.array(keys[new].view(np.int64))], ["doc_id", "line"])
+
+
 def lines_of(text):
     return F.transform(F.split(text, "\n"), lambda s: F.btrim(s, F.lit(WHITE)))
 
 
-def removals(docs: DataFrame, rare_share: float, rare_least: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+def removals(docs: DataFrame, rare_share: float | None, rare_least: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
     """(key, doc_id, gone): places (from 0, blank lines not counted) of lines to delete from later texts; an empty list
     stands for the whole text."""
     text = text_or_empty(text_col)
@@ -111,15 +142,16 @@ def removals(docs: DataFrame, rare_share: float, rare_least: int, min_chars: int
     rows = cut(rows.select("doc_id", "key", F.transform("x", lambda s: F.xxhash64(s)).alias("lines"), F.transform("x", F.length).alias("sizes")))
     firsts = rows.groupBy("key").agg(F.min_by(F.struct("lines", "sizes"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id")).select("doc_id", "key", "x.*")
     firsts = cut(firsts)
-    n = firsts.count()
-    most = max(rare_least, int(rare_share * n))
-    lines = firsts.select("doc_id", F.explode(F.array_distinct("lines")).alias("line"))
-    owners = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= most)).drop("df")
+    kind = docs.schema[id_col].dataType.simpleString()
+    lines = firsts.select("doc_id", "lines", "sizes").mapInArrow(lambda it: starts(it, min_chars), f"doc_id {kind}, line long")
+    owners = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df")).where(F.col("df") > 1)
+    if rare_share is not None:
+        owners = owners.where(F.col("df") <= max(rare_least, int(rare_share * firsts.count())))
+    owners = owners.drop("df")
     pairs = lines.join(owners, "line").where(F.col("doc_id") != F.col("owner")).select(F.col("doc_id").alias("later"), "owner").distinct()
     later = firsts.select(F.col("doc_id").alias("later"), "lines", "sizes")
     owner = firsts.select(F.col("doc_id").alias("owner"), F.col("lines").alias("theirs"))
     aligned = pairs.join(owner, "owner").join(later, "later").select("later", "lines", "sizes", "theirs")
-    kind = docs.schema[id_col].dataType.simpleString()
     gone = aligned.mapInArrow(lambda it: alignments(it, min_chars), f"later {kind}, gone array<int>")
     gone = gone.select("later", F.explode("gone").alias("k")).groupBy("later").agg(F.collect_set("k").alias("gone"))
     partly = gone.join(firsts.select(F.col("doc_id").alias("later"), "key"), "later").select("key", F.col("later").alias("doc_id"), "gone")
@@ -128,7 +160,7 @@ def removals(docs: DataFrame, rare_share: float, rare_least: int, min_chars: int
     return partly.unionByName(whole)
 
 
-def dedup_lines(docs: DataFrame, rare_share: float = 0.001, rare_least: int = 50, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, rare_share: float | None = None, rare_least: int = 50, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """The documents with duplicate line blocks deleted from later ones; all columns and rows stay.
 
     With report, doc_id, n_lines (that aren't blank), n_removed and the remaining text are returned instead. The first of

@@ -70,6 +70,16 @@ def test_frequent_lines_start_no_alignment(spark):
     assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df, rare_share=1.0, report=True).collect()} == {k: int(k > 0) for k in range(30)}
 
 
+def test_blocks_of_frequent_lines_are_deleted(spark):
+    block = [f"short line {k} of a block" for k in range(3)]  # 24 characters each
+    made = [(k, f"alone number {k}\n{block[k]}\nand its end {k}") for k in range(3)]  # each line's first document holds nothing else of the block
+    made += [(k, "\n".join([f"head of {k}", *block, f"tail of {k}"])) for k in range(3, 90)]
+    made += [(k, f"own line of document number {k} and of nobody else\na line that each of these documents carries, long enough") for k in range(90, 180)]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(made, "doc_id long, text string"), report=True))
+    assert {k: r.n_removed for k, r in got.items()} == {k: 3 if 3 < k < 90 else int(k > 90) for k in range(180)}
+    assert got[70].text == "head of 70\ntail of 70" and got[170].text == "own line of document number 170 and of nobody else"
+
+
 # 2: main text
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use</div>
