@@ -207,8 +207,8 @@ class Page:
         return "\n\n".join(b[0] for b, k in zip(self.blocks, keep, strict=True) if k)
 
     def signature(self) -> int:
-        """Of the page's longest block: pages with the same one count as one."""
-        return xxhash.xxh3_64_intdigest(max((b[0] for b in self.blocks), key=len, default="")) >> 1
+        """Of all the page's blocks: exact copies count as one, and a block that pages share, however long, doesn't make them one."""
+        return xxhash.xxh3_64_intdigest("\x00".join(b[0] for b in self.blocks)) >> 1
 
     def candidates(self) -> set[int]:
         return {key for first, end, key, gone in self.spans if end > first and not gone}
@@ -265,7 +265,8 @@ def texts(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame, min_pages: int = 10, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    A subtree is a template when at least ``min_pages`` pages of its host with different longest blocks hold it.
+    A subtree is a template when at least ``min_pages`` pages of its host with different blocks hold it; pages
+    with the same blocks are copies and count as one.
     Null or empty html gives an empty text, a null url counts as the host "". Ids may be null or repeat; an empty
     table gives no rows; other columns don't matter.
     """

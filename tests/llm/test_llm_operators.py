@@ -102,6 +102,15 @@ def test_templates_go_only_where_they_recur(spark):
         assert (got[200].text, got[200].n_chars) == ("", 0)
 
 
+def test_templates_longer_than_the_pages_own_paragraphs_go(spark):
+    page = lambda k, host, own: (k, f"http://{host}/{k}", f"<body><div><p>Follow us on our channels</p></div><div>{'All offers are subject to change. ' * 9}</div><div><h1>Title {own}</h1><p>Own paragraph {own}</p></div></body>")
+    made = [page(k, "a.example", k) for k in range(12)] + [page(k, "b.example", 1) for k in range(100, 130)]
+    for bound in (html_extract.BROADCAST_ROWS, -1):
+        got = {r.page_id: r.text for r in html_extract.extract_main_text(spark.createDataFrame(made, "page_id long, url string, html string"), broadcast_rows=bound).collect()}
+        assert all(got[k] == f"Title {k}\n\nOwn paragraph {k}" for k in range(12))
+        assert all(got[k].startswith("Follow us") and got[k].endswith("Own paragraph 1") for k in range(100, 130))  # copies count as one
+
+
 def test_pages_against_their_articles(spark):
     import html
 
