@@ -8,12 +8,13 @@ signatures agree in a component with probability equal to the weighted Jaccard s
 in order of time, and a shingle stops once its next point comes later than all components' minima, so
 most shingles make one point.
 
-Signatures are banded. In each bucket every text is paired with one centre, pairs are verified by
-exact multiset overlap, and verified links are joined into classes. Texts of one bucket that are still in
-different classes are then paired with each other and verified too, so no link between classes is lost. In small
-buckets that is all pairs; texts of larger ones are matched by prefix filtering, which is exact: with items
-ordered from rare to frequent, similar texts share one of their first n - ceil(0.8 n) + 1 items, so texts that
-only share a frequent passage never meet. Equal texts are one node, so copies are never paired.
+Signatures are banded, and each bucket's texts are linked in two steps. First every text is paired with its
+bucket's first one; pairs are verified by exact multiset overlap and links are joined into classes, so a large group
+of close copies costs one pair a text and bucket. Then only buckets that still hold texts of different classes
+(of several with the same texts, one) are worked through: their item sets meet in a task, and each text that is not
+of the bucket's largest class is compared with all texts of other classes and of a fitting size, so that
+no link between classes is lost. Nothing but links leaves the task, at most one for every two classes it joins. Buckets of
+more than ``BLOCK`` items are dealt as pairs of blocks. Equal texts are one node, so copies are never paired.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalgraph.llm.blocks import Prefix, chunks, mixed, replicas, shingles, words
-from shoalgraph.llm.runtime import cut, prepare, text_or_empty
+from shoalgraph.llm.runtime import cut, prepare, text_or_empty, unused
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
-#: Texts of a bucket with more open texts than this are matched by prefix filtering.
-CROWDED = 24
+#: Items (shingles with their repetitions) that a block of a bucket holds.
+BLOCK = 1_000_000
+#: Texts that one text is compared with at a time.
+STEP = 512
 C1, C2 = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -127,13 +130,118 @@ def verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(score[ok])], ["a", "b", "score"])
 
 
-def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar; texts: (key, text), one row for a key or several equal ones."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    items = cut(texts.join(wanted, "key", "left_semi").mapInArrow(sets, "key binary, items binary"))
+def linked(pairs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar; items: (key, items), one row for a key."""
     one = pairs.join(items.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a")
     both = one.join(items.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b").select("a", "b", "items_a", "items_b")
-    return cut(both.mapInArrow(lambda it: verified(it, least), "a binary, b binary, score double"))
+    return both.mapInArrow(lambda it: verified(it, least), "a binary, b binary, score double")
+
+
+class Group:
+    """Texts of a bucket (or of two of its blocks), and the classes they are in."""
+
+    def __init__(self, rows: list[tuple], least: float):
+        rows.sort(key=lambda r: (r[0], r[4], len(r[3]), r[1]))  # block, of the largest class, size, key
+        self.least, self.keys = least, [r[1] for r in rows]
+        self.block = np.array([r[0] for r in rows], np.int64)
+        self.main = np.array([r[4] for r in rows], bool)
+        self.labels, of = np.unique(np.array([r[2].hex() for r in rows]), return_inverse=True)
+        self.of = of.astype(np.int64)
+        self.size = np.array([len(r[3]) // 8 for r in rows], np.int64)
+        _, codes = np.unique(np.frombuffer(b"".join(r[3] for r in rows), np.uint64), return_inverse=True)
+        self.codes, self.at = codes.astype(np.int32), np.append(0, np.cumsum(self.size))
+        self.flag = np.zeros(int(codes.max()) + 1 if len(codes) else 1, np.uint8)
+
+    def compare(self, x: int, lo: int, hi: int) -> Iterator[tuple[int, float]]:
+        """Links of text x with texts lo to hi of other classes, each with a class that x has none with yet."""
+        own = self.codes[self.at[x] : self.at[x + 1]]
+        for a in range(lo, hi, STEP):
+            y = np.arange(a, min(hi, a + STEP))
+            y = y[self.of[y] != self.of[x]]
+            if not len(y):
+                continue
+            n = self.size[y]
+            start = np.cumsum(n) - n
+            index = np.repeat(self.at[y] - start, n) + np.arange(n.sum())
+            self.flag[own] = 1
+            both = np.add.reduceat(self.flag[self.codes[index]], start, dtype=np.int64)
+            self.flag[own] = 0
+            score = both / (n + self.size[x] - both)
+            for k in np.flatnonzero(score >= self.least).tolist():
+                if self.of[y[k]] != self.of[x]:
+                    yield int(y[k]), float(score[k])
+                    self.of[self.of == self.of[y[k]]] = self.of[x]
+
+    def fitting(self, x: int, lo: int, hi: int) -> tuple[int, int]:
+        """Those of texts lo to hi (sorted by size) that can be similar to x."""
+        n = self.size[lo:hi]
+        return lo + int(np.searchsorted(n, self.least * self.size[x] * (1 - 1e-9))), lo + int(np.searchsorted(n, self.size[x] / self.least * (1 + 1e-9), side="right"))
+
+    def links(self) -> Iterator[tuple[int, int, float]]:
+        """(x, y, similarity): with all of them, every two texts that are similar are in one class."""
+        n = len(self.keys)
+        if self.block[0] != self.block[-1]:  # two blocks: only pairs across them
+            middle = int(np.searchsorted(self.block, self.block[-1]))
+            spans = [(x, [(middle, n)]) for x in range(middle)]
+        else:
+            middle = int(np.searchsorted(self.main, True))
+            spans = [(x, [(x + 1, middle), (middle, n)]) for x in range(middle)]
+        for x, parts in spans:
+            for lo, hi in parts:
+                if lo < hi:
+                    yield from ((x, y, score) for y, score in self.compare(x, *self.fitting(x, lo, hi)))
+
+
+def compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Columns bucket, p, q, block, key, label, items, main, sorted by the first three -> links and the labels they join."""
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        group = Group(rows, least)
+        was = group.of.copy()
+        found = [(group.keys[x], group.keys[y], bytes.fromhex(group.labels[was[x]]), bytes.fromhex(group.labels[was[y]]), score) for x, y, score in group.links()]
+        a, b, label_a, label_b, score = zip(*found, strict=True) if found else ((),) * 5
+        kinds = (pa.binary(),) * 4 + (pa.float64(),)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((a, b, label_a, label_b, score), kinds, strict=True)], ["a", "b", "label_a", "label_b", "score"])
+
+    now, rows = None, []
+    for batch in batches:
+        c = [batch.column(k) for k in range(8)]
+        groups = list(zip(c[0].to_pylist(), c[1].to_pylist(), c[2].to_pylist(), strict=True))
+        for i, group in enumerate(groups):
+            if group != now and rows:
+                yield told(rows)
+                rows = []
+            now = group
+            rows.append((c[3][i].as_py(), c[4][i].as_py(), c[5][i].as_py(), c[6][i].as_py(), c[7][i].as_py()))
+    if rows:
+        yield told(rows)
+
+
+def across(crowd: DataFrame, labels: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """Links between texts of different classes that share a bucket, with the classes (label_a, label_b) they join.
+
+    crowd: (bucket, key, n). Buckets of the same texts are one. The texts of a bucket's largest class are not compared with
+    each other; in a large bucket they make blocks of their own.
+    """
+    left = crowd.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    same = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("key")).alias("x"), F.count("*").alias("c"))
+    same = same.where("lo != hi").groupBy("x", "c").agg(F.min("bucket").alias("bucket")).select("bucket")
+    open_ = cut(left.join(same, "bucket", "left_semi").select("bucket", "key", "n", "label"))
+    by_label = open_.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    plan = by_label.groupBy("bucket").agg(F.max(F.struct("c", "label", "w")).alias("m"), F.sum("w").alias("all"))
+    blocks = lambda w: F.ceil(w / F.lit(BLOCK)).cast("int")
+    whole = F.col("all") <= BLOCK
+    plan = plan.select("bucket", F.col("m.label").alias("major"), F.when(whole, 0).otherwise(blocks(F.col("m.w"))).alias("far"), F.when(whole, 1).otherwise(F.greatest(F.lit(1), blocks(F.col("all") - F.col("m.w")))).alias("near"))
+    told = open_.join(plan, "bucket")
+    main = F.col("label") == F.col("major")
+    own = F.when(main & (F.col("far") > 0), F.col("near") + F.pmod(F.xxhash64("key"), F.col("far"))).otherwise(F.pmod(F.xxhash64("key"), F.col("near"))).cast("int")
+    told = told.select("bucket", "key", "label", main.alias("main"), own.alias("block"), "near", "far")
+    nears, every = F.sequence(F.lit(0), F.col("near") - 1), F.sequence(F.lit(0), F.col("near") + F.col("far") - 1)
+    told = told.withColumn("other", F.explode(F.when(F.col("block") < F.col("near"), every).otherwise(nears)))
+    told = told.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "label", "main")
+    rows = told.join(items, "key").select("bucket", "p", "q", "block", "key", "label", "items", "main")
+    rows = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    return rows.mapInArrow(lambda it: compared(it, least), "a binary, b binary, label_a binary, label_b binary, score double")
 
 
 def components(links: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
@@ -147,7 +255,7 @@ def components(links: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     while True:
         both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low_of = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low_of, "u").select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
         edges = cut(small.where(F.col("u") != F.col("v")).distinct())
@@ -158,65 +266,6 @@ def components(links: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_shingles, n_links, kept of every document.
-
-    class_id is the smallest id in the document's class (texts that links of weighted Jaccard similarity ``least`` or more
-    on five-word shingles connect), n_links how many other texts of the class it was verified against, kept
-    whether the row is the one that stays of its class. Equal texts, null and empty ones together, are one class member;
-    texts of fewer than five words are one shingle. Rows with a null id get the class of their text and are kept
-    only if nothing else of the class has an id. Repeated rows are kept once. An empty table gives no rows.
-    """
-    prepare(docs.sparkSession)
-    marked, labels, links = classes(docs, least, id_col, text_col)
-    grouped = marked.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    first = grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
-    out = grouped.join(first, "label").join(degree, "key", "left")
-    kept = (F.col("doc_id") == F.col("class_id")) & F.col("doc_id").isNotNull()
-    return out.select("doc_id", "class_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(kept, F.lit(False)).alias("kept"))
-
-
-def sized(least: float):
-    """Texts x and y are of sizes that can be similar."""
-    return (F.col("x.n") >= least * F.col("y.n")) & (F.col("y.n") >= least * F.col("x.n"))
-
-
-def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns key, text -> a row for each item of the multiset, with the multiset's size."""
-    for batch in sets(batches):
-        items = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-        size = np.array([len(x) for x in items], np.int64)
-        index = np.repeat(np.arange(len(items)), size)
-        every = np.concatenate(items) if items else np.zeros(0, np.int64)
-        for lo in range(0, len(index), 100_000):
-            part = index[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), pa.array(every[lo : lo + 100_000]), pa.array(size[part])], ["key", "item", "n"])
-
-
-def prefix_pairs(pool: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of pool texts (key, n, label) of different labels that share an item of their prefixes.
-
-    Items that only one pool text has come first in its order and match nothing, so texts with enough of them drop
-    out. Items whose holders are all of one label are left out; of the others, only holders that aren't of
-    the item's most frequent label are paired with all its holders.
-    """
-    once = texts.join(pool.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    items = once.mapInArrow(listed, "key binary, item long, n long")
-    shared = items.groupBy("item").agg(F.count("*").alias("c")).where("c > 1")
-    held = items.join(shared, "item")
-    own = Window.partitionBy("key")
-    first = F.row_number().over(own.orderBy("c", "item")) + F.col("n") - F.count("*").over(own)
-    prefix = held.withColumn("_rank", first).where(F.col("_rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("item", "key", "n")
-    prefix = cut(prefix.join(pool.select("key", "label"), "key"))
-    by_label = prefix.groupBy("item", "label").agg(F.count("*").alias("c"))
-    major = by_label.groupBy("item").agg(F.max_by("label", "c").alias("major"), F.count("*").alias("k")).where("k > 1").drop("k")
-    x = prefix.alias("x")
-    y = prefix.join(major, "item").where(F.col("label") != F.col("major")).select("item", "key", "n", "label").alias("y")
-    both = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.label") != F.col("y.label")) & sized(least))
-    return both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-
-
 def classes(docs: DataFrame, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, key, n) of every row, (key, label) of texts in classes of several, and the links between texts."""
     key = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
@@ -226,39 +275,53 @@ def classes(docs: DataFrame, least: float, id_col: str, text_col: str) -> tuple[
     nodes = marked.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     members = nodes.select("key", "n", F.explode("bands").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
-    texts = rows.select("key", "text")
     crowd = cut(members.join(heads, "bucket"))  # texts that share a bucket with another one
+    wanted = rows.select("key", "text").join(crowd.select("key").distinct(), "key", "left_semi")
+    items = cut(wanted.mapInArrow(sets, "key binary, items binary").groupBy("key").agg(F.first("items").alias("items")))
     stars = crowd.where(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-    links = linked(cut(stars), texts, least)
+    links = cut(linked(stars, items, least))
     labels = components(links)
-    left = crowd.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    split = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("bucket", "c")
-    open_ = cut(left.join(split, "bucket").select("bucket", "c", "key", "n", "label"))
-    few = open_.where(F.col("c") <= CROWDED)
-    x, y = few.alias("x"), few.alias("y")
-    near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & sized(least))
-    near = near.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    many = prefix_pairs(open_.where(F.col("c") > CROWDED).select("key", "n", "label").distinct(), texts, least)
-    rest = cut(near.unionByName(many).distinct().join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = linked(rest, texts, least)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+    more = cut(across(crowd.drop("head"), labels, items, least))
+    if not more.isEmpty():
+        joined = components(more, "label_a", "label_b").select(F.col("key").alias("label"), F.col("label").alias("final"))
+        moved = labels.join(joined, "label", "left").select("key", F.coalesce("final", "label").alias("label"))
+        alone = joined.select(F.col("label").alias("key"), F.col("final").alias("label")).join(labels.select("key"), "key", "left_anti")
+        labels = cut(moved.unionByName(alone))
+        links = links.unionByName(more.select("a", "b", "score"))
     return marked.drop("bands"), labels, links
 
 
+def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, n_shingles and kept of every document.
+
+    class_id is the smallest id in the document's class (texts that links of weighted Jaccard similarity ``least`` or more
+    on five-word shingles connect), kept whether the row is the one that stays of its class. Equal texts, null and
+    empty ones together, are one class member; texts of fewer than five words are one shingle. Rows with a null id
+    get the class of their text and are kept only if nothing else of the class has an id. Repeated rows are kept
+    once. An empty table gives no rows; other columns don't matter.
+    """
+    prepare(docs.sparkSession)
+    marked, labels, _ = classes(docs, least, id_col, text_col)
+    grouped = marked.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    first = grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    out = grouped.join(first, "label")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "class_id", F.col("n").alias("n_shingles"), kept.alias("kept"))
+
+
 def drop_near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but the first (by id) of each class; all columns stay.
 
-    Rows without an id stay once for each text of a class in which no row has an id.
+    Rows without an id stay, once for a class, only where no row of the class has an id. Repeated rows (same id and
+    text) stay once; null and empty texts are one class. An empty table gives no rows, and columns of any name
+    are kept as they are.
     """
     prepare(docs.sparkSession)
     marked, labels, _ = classes(docs, least, id_col, text_col)
     grouped = marked.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     best = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))).alias("best"))
-    stays = best.select(F.col("best.doc_id").alias("_stay_id"), F.col("best.key").alias("_stay_key"))
-    key = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
-    names = docs.columns
-    found = docs.withColumn("_key", key).join(stays, (F.col("_key") == F.col("_stay_key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_stay_id")), "left_semi").drop("_key")
-    return found.dropDuplicates([id_col, text_col]).select(*[F.col(f"`{c}`") for c in names])
+    own, stay_id, stay_key = unused(docs, "key", "stay_id", "stay_key")
+    stays = best.select(F.col("best.doc_id").alias(stay_id), F.col("best.key").alias(stay_key))
+    keyed = docs.withColumn(own, F.unhex(F.md5(text_or_empty(text_col).cast("binary"))))
+    found = keyed.join(stays, (F.col(own) == F.col(stay_key)) & F.col(f"`{id_col}`").eqNullSafe(F.col(stay_id)), "left_semi")
+    return found.dropDuplicates([own, id_col]).drop(own)
