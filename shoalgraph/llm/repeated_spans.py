@@ -7,14 +7,15 @@ substrings in it (its minimizer); neighbouring strings with the same one form a
 1. Runs are compared whole, by hash: a run that an earlier document has too is covered, and a run whose
    minimizer occurs in no other document can't be. On the sample data that settles all but the runs at the edges of
    repeated passages.
-2. The bytes of the runs left meet in buckets. Each bucket builds a suffix array by the difference-cover
-   algorithm (ranks of triples at two of three places, recursion on the names, merge of the rest); strings that
-   are neighbours in it and equal over ``length`` bytes are one string, owned by the smallest id.
+2. The bytes of the runs left meet in buckets. Each bucket builds suffix arrays by the difference-cover algorithm
+   (ranks of triples at two of three places, recursion on the names, merge of the rest) for some of its minimizers at a
+   time; neighbours there whose first ``length`` bytes agree are one string, owned by the smallest id.
 3. Each text loses its covered bytes.
 
-Runs and bytes travel as packed arrays, a few rows for each task and bucket. Minimizers that a sample of documents
-shows to be frequent (that only decides the routing) are dealt by run, and then by string, instead; each task
-merges equal ones before it sends them, so that a passage in a third of all documents arrives once a task.
+Runs and bytes travel as packed arrays, a few rows for each task and bucket, and a task streams its buckets one by one. Buckets
+follow from the bytes of all texts. A minimizer of more bytes than a part may hold is dealt by string. Those that a sample of
+documents shows to be frequent (that only decides the routing) are dealt by run, and then by string, before they travel; each
+task merges equal ones first, so that a passage in a third of all documents arrives once a task.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalgraph.llm.blocks import Prefix, chunks, mixed
-from shoalgraph.llm.runtime import cut, prepare, release, text_or_empty
+from shoalgraph.llm.runtime import cut, prepare, text_or_empty
 
 #: Bytes of the substrings that minimizers are chosen from.
 GRAM = 20
@@ -36,7 +37,9 @@ GRAM = 20
 LONGEST = 255
 #: Documents in the sample for routing, and in how many of them a minimizer is frequent.
 SAMPLED, FREQUENT = 5000, 25
-FLUSH, SORTED = 8 << 20, 1 << 20
+FLUSH, SORTED = 4 << 20, 1 << 19
+#: Bytes of text for each bucket, and runs of it that are compared at a time.
+PER_BUCKET, COMPARED = 64 << 20, 500_000
 OPEN, COVERED, SPREAD = 0, 1, 2
 RUN = np.dtype([("h", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("n", "<u4")])
 
@@ -47,34 +50,34 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     t = np.zeros(n + 3, np.int64)
-    t[:n] = s + 1
+    t[:n] = s
+    t[:n] += 1
     ones, twos, zeros = (np.arange(k, n + (k == 1 and n % 3 == 1), 3) for k in (1, 2, 0))
     sample = np.concatenate([ones, twos])
     packed = t[sample]
     for k in (1, 2):
-        packed = packed << 21 | t[np.minimum(sample + k, n + 2)]
-    _, names = np.unique(packed, return_inverse=True)
-    rank = np.zeros(n + 4, np.int64)
-    if names.max() + 1 < len(sample):
+        packed <<= 21
+        packed |= t[np.minimum(sample + k, n + 2)]
+    order = np.argsort(packed)
+    new = np.append(True, np.diff(packed[order]) != 0)
+    names = np.empty(len(sample), np.int64)
+    names[order] = np.cumsum(new) - 1
+    if not new.all():
         order = doubled(names) if names.max() >= 1 << 20 else suffix_array(names)
-        rank[sample[order]] = np.arange(1, len(sample) + 1)
-    else:
-        rank[sample] = names + 1
+    rank = np.zeros(n + 4, np.int64)
+    rank[sample[order]] = np.arange(1, len(sample) + 1)
     key1 = lambda i: t[i] << 40 | rank[i + 1]
-    zero = zeros[np.argsort(key1(zeros), kind="stable")]
-    ones, twos = ones[ones < n], twos[twos < n]
-    ones, twos = ones[np.argsort(rank[ones])], twos[np.argsort(rank[twos])]
-    pairs = np.unique(t[:-1] << 21 | t[1:])  # the second and third keys of a comparison, as one number
-    pair = lambda i: np.searchsorted(pairs, t[i] << 21 | t[i + 1])
-    key2 = lambda i: pair(i) << 32 | rank[i + 2]
+    key2 = lambda i: t[i] << 42 | t[i + 1] << 21 | rank[i + 2]
+    zero = zeros[np.argsort(key1(zeros))]
+    by_rank = sample[order]
+    by_rank = by_rank[by_rank < n]
+    ones, twos = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
     out = np.empty(n, np.int64)
-    before_one, before_two = np.searchsorted(key1(ones), key1(zero)), np.searchsorted(key2(twos), key2(zero))
-    out[np.arange(len(zero)) + before_one + before_two] = zero
-    rest = np.concatenate([ones, twos])
-    rest = rest[np.argsort(rank[rest])]
+    at = np.arange(len(zero)) + np.searchsorted(key1(ones), key1(zero)) + np.searchsorted(key2(twos), key2(zero))
+    out[at] = zero
     free = np.ones(n, bool)
-    free[np.arange(len(zero)) + before_one + before_two] = False
-    out[free] = rest
+    free[at] = False
+    out[free] = by_rank
     return out
 
 
@@ -153,17 +156,19 @@ def settled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(x: np.ndarray) -> bytes:
     """Runs as bytes, column by column, each (document, row) once; 32 bits (never all 0) of a minimizer tell it apart in its bucket."""
-    rows, first, at = np.unique(x["row"], return_index=True, return_inverse=True)
+    _, first, at = np.unique(mixed(x["doc"].view(np.uint64)) + x["row"].view(np.uint64), return_index=True, return_inverse=True)
+    docs, rows = x["doc"][first], x["row"][first]
     many, far = len(rows) >= 1 << 16, len(x) and int(x["lo"].max()) >= 1 << 24
-    head = np.array([len(x), len(rows), many, far], "<i8").tobytes()
+    plain = not rows.any()  # ids tell rows apart
+    head = np.array([len(x), len(rows), many, far, plain], "<i8").tobytes() + docs.tobytes()
     h = np.where(x["h"] == 0, 0, x["h"] | np.uint64(1)).astype("<u4")
     low = x["lo"].astype("<u4").tobytes() if far else x["lo"].astype("<u2").tobytes() + (x["lo"] >> 16).astype("u1").tobytes()
-    return head + x["doc"][first].tobytes() + rows.tobytes() + h.tobytes() + x["body"].tobytes() + at.astype("<u4" if many else "<u2").tobytes() + low + x["n"].astype("u1").tobytes()
+    return head + (b"" if plain else rows.tobytes()) + h.tobytes() + x["body"].tobytes() + at.astype("<u4" if many else "<u2").tobytes() + low + x["n"].astype("u1").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    n, m, many, far = np.frombuffer(data, "<i8", 4).tolist()
-    at = 32
+    n, m, many, far, plain = np.frombuffer(data, "<i8", 5).tolist()
+    at = 40
 
     def column(kind: str, size: int) -> np.ndarray:
         nonlocal at
@@ -171,7 +176,8 @@ def unpacked(data: bytes) -> np.ndarray:
         at += col.nbytes
         return col
 
-    docs, rows = column("<i8", m), column("<i8", m)
+    docs = column("<i8", m)
+    rows = np.zeros(m, np.int64) if plain else column("<i8", m)
     x = np.empty(n, RUN)
     x["h"], x["body"] = column("<u4", n), column("<u8", n)
     own = column("<u4" if many else "<u2", n)
@@ -203,7 +209,7 @@ def dealt(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray,
         x, covered = settled(np.concatenate(held) if held else np.empty(0, RUN))
         often = hot(x["h"], frequent) & ~covered
         rest = ~covered & ~often
-        rows = [*parcels(OPEN, x[rest], x["h"][rest], buckets), *parcels(SPREAD, x[often], x["body"][often], buckets), *parcels(COVERED, x[covered], x["row"][covered].view(np.uint64), buckets)]
+        rows = [*parcels(OPEN, x[rest], x["h"][rest], buckets), *parcels(SPREAD, x[often], x["body"][often], buckets), *parcels(COVERED, x[covered], x["doc"][covered].view(np.uint64), buckets)]
         held.clear()
         return sent(rows)
 
@@ -221,28 +227,44 @@ def dealt(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray,
     yield flush()
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed runs of whole buckets -> (doc_id, row, lo, n, look): covered runs, and those whose bytes have to be looked at."""
-    held: dict[int, dict[int, list[bytes]]] = {}
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
+    """Columns bucket, kind, data, sorted by the first two -> the data of each bucket and kind; covered runs come as they are, a few at a time."""
+    now, parts = None, []
     for batch in batches:
         for b, k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if k == COVERED:
-                yield told(unpacked(d.as_py()), None)
-            else:
-                held.setdefault(b, {}).setdefault(k, []).append(d.as_py())
-    for kinds in held.values():
-        for k, parts in kinds.items():
-            x, covered = settled(np.concatenate([unpacked(d) for d in parts]))
-            parts.clear()
-            new = np.ones(len(x), bool)
-            new[1:] = x["h"][1:] != x["h"][:-1]
-            first = np.flatnonzero(new)
-            many = np.repeat(np.minimum.reduceat(x["doc"], first) < np.maximum.reduceat(x["doc"], first), np.diff(np.append(first, len(x))))
-            bodies = np.ones(len(x), np.int64)
-            bodies[1:] = (x["body"][1:] != x["body"][:-1]) | new[1:]
-            several = np.repeat(np.add.reduceat(bodies, first) > 1, np.diff(np.append(first, len(x))))
-            look = ~covered & ((several & many) if k == OPEN else True)
-            yield told(x[covered | look], look[covered | look])
+            if (b, k) != now or (k == COVERED and parts):
+                if parts:
+                    yield now, parts
+                now, parts = (b, k), []
+            parts.append(d.as_py())
+    if parts:
+        yield now, parts
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed runs of whole buckets -> (doc_id, row, lo, n, look): covered runs, and those whose bytes have to be looked at."""
+    for (_, kind), parts in by_bucket(batches):
+        if kind == COVERED:
+            yield told(unpacked(parts[0]), None)
+            continue
+        many = -(-sum(int(np.frombuffer(d, "<i8", 1)[0]) for d in parts) // COMPARED)
+        for k in range(many):  # a few minimizers (or bodies) at a time
+            own = [x[(x["h" if kind == OPEN else "body"] >> 1) % many == k] for x in map(unpacked, parts)]
+            yield compared_runs(np.concatenate(own), kind)
+
+
+def compared_runs(x: np.ndarray, kind: int) -> pa.RecordBatch:
+    x, covered = settled(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x["h"][1:] != x["h"][:-1]
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(x)))
+    bodies = np.ones(len(x), np.int64)
+    bodies[1:] = (x["body"][1:] != x["body"][:-1]) | new[1:]
+    several = np.minimum.reduceat(x["doc"], first) < np.maximum.reduceat(x["doc"], first) if len(x) else np.zeros(0, bool)
+    several &= np.add.reduceat(bodies, first) > 1 if len(x) else several
+    look = ~covered & (np.repeat(several, sizes) if kind == OPEN else True)
+    return told(x[covered | look], look[covered | look])
 
 
 def told(x: np.ndarray, look: np.ndarray | None) -> pa.RecordBatch:
@@ -275,7 +297,7 @@ def opened(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray,
             order = np.lexsort((y["doc"], y["body"]))
             at = at[order]
             y, covered = settled(y)
-            rows += parcels(COVERED, y[covered], y["row"][covered].view(np.uint64), buckets)
+            rows += parcels(COVERED, y[covered], y["doc"][covered].view(np.uint64), buckets)
             rows += parcels_of_bytes(OPEN, y[~covered], at[~covered], y["body"][~covered], data, length, buckets)
         return sent(rows)
 
@@ -317,23 +339,36 @@ def parcels_of_bytes(kind: int, x: np.ndarray, start: np.ndarray, keys: np.ndarr
         yield b, kind, np.array([len(head)], "<i8").tobytes() + head + data[index].tobytes()
 
 
+def agree(buf: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at each place in order equal those at the place before it there."""
+    word = np.zeros(len(buf), np.uint64)
+    for k in range(8):
+        word[: len(buf) - k] |= buf[k:].astype(np.uint64) << np.uint64(8 * k)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for at in [*range(0, length - 8, 8), length - 8]:
+        here = word[order + at]
+        same &= here[1:] == here[:-1]
+    return np.append(False, same) if len(order) else same
+
+
 def sorted_out(x: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, first string, strings) that an earlier document has too, from the suffix array of the runs' bytes."""
+    """(run, first string, strings) that an earlier document has too: neighbours in the suffix array of the runs' bytes that agree
+    in their first ``length`` bytes are one string."""
     width = x["n"].astype(np.int64) + length - 1
     start = np.cumsum(width + 1) - (width + 1)
-    s = np.zeros(int((width + 1).sum()), np.int64)
+    buf, apart = np.zeros(int((width + 1).sum()), np.uint8), np.ones(int((width + 1).sum()), bool)
     index = np.repeat(start - (np.cumsum(width) - width), width) + np.arange(len(data))
-    s[index] = data.astype(np.int64) + 1
+    buf[index], apart[index] = data, False
+    s = buf.astype(np.int32) + 1
+    s[apart] = 0
     n = x["n"].astype(np.int64)
     run = np.repeat(np.arange(len(x)), n)
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    whose = np.full(len(s), -1, np.int64)
+    whose = np.full(len(s), -1, np.int32)
     whose[start[run] + within] = np.arange(len(run))
     order = suffix_array(s)
     order = order[whose[order] >= 0]
-    h = Prefix(s.astype(np.uint16).view(np.uint8)).spans(2 * order, 2 * (order + length))
-    new = np.append(True, h[1:] != h[:-1])
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(~agree(buf, order, length))
     doc = x["doc"][run[whose[order]]]
     owner = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
     covered = np.zeros(len(run), bool)
@@ -345,39 +380,64 @@ def sorted_out(x: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray
     return run[at], within[at], total
 
 
+def parts_of(x: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(runs, bytes) of a bucket in parts of about SORTED bytes that can be sorted by themselves.
+
+    A part holds whole minimizers. One with more bytes than that is dealt by string: each of its strings becomes a run, and goes
+    to a part by its hash.
+    """
+    width = x["n"].astype(np.int64) + length - 1
+    start = np.cumsum(width) - width
+    key = np.where(x["h"] == 0, x["body"], x["h"])
+    order = np.argsort(key, kind="stable")
+    x, width, start, key = x[order], width[order], start[order], key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    first = np.flatnonzero(new)
+    size = np.add.reduceat(width, first)
+    edge = np.append(first, len(x))
+    lo = 0
+    while lo < len(first):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), SORTED, side="right")))
+        a, b = edge[lo], edge[hi]
+        if hi == lo + 1 and size[lo] > SORTED and x["n"][a:b].max() > 1:
+            n = x["n"][a:b].astype(np.int64)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            of, at = np.repeat(np.arange(a, b), n), np.repeat(start[a:b], n) + within
+            part = Prefix(data).spans(at, at + length) % np.uint64(max(1, int(n.sum()) * length // SORTED))
+            for k in range(int(part.max()) + 1):
+                own = np.flatnonzero(part == k)
+                y = x[of[own]]
+                y["lo"] += within[own].astype(np.uint32)
+                y["n"] = 1
+                yield y, data[(at[own][:, None] + np.arange(length)).ravel()]
+        else:
+            w = width[a:b]
+            index = np.repeat(start[a:b] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+            yield x[a:b], data[index]
+        lo = hi
+
+
 def sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Packed bytes of whole buckets -> covered (doc_id, row, lo, n)."""
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for b, k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if k == COVERED:
-                yield told(unpacked(d.as_py()), None)
-            else:
-                held.setdefault(b, []).append(d.as_py())
-    for b in list(held):
+    for (_, kind), parts in by_bucket(batches):
+        if kind == COVERED:
+            yield told(unpacked(parts[0]), None)
+            continue
         runs_, bytes_ = [], []
-        for d in held.pop(b):
+        for d in parts:
             k = int(np.frombuffer(d, "<i8", 1)[0])
             runs_.append(unpacked(d[8 : 8 + k]))
             bytes_.append(np.frombuffer(d, np.uint8, offset=8 + k))
+        parts.clear()
         x, data = np.concatenate(runs_), np.concatenate(bytes_)
-        width = x["n"].astype(np.int64) + length - 1
-        start = np.cumsum(width) - width
-        key = np.where(x["h"] == 0, x["body"], x["h"])
-        order = np.argsort(key, kind="stable")
-        x, width, start, key = x[order], width[order], start[order], key[order]
-        reach, lo = np.cumsum(width), 0
-        while lo < len(x):  # a part ends where a minimizer does
-            hi = int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + SORTED, side="right"))
-            hi = int(np.searchsorted(key, key[max(lo, hi - 1)], side="right"))
-            w = width[lo:hi]
-            index = np.repeat(start[lo:hi] - (np.cumsum(w) - w), w) + np.arange(w.sum())
-            run, first, n = sorted_out(x[lo:hi], data[index], length)
-            out = x[lo:hi][run].copy()
+        del runs_, bytes_
+        for y, own in parts_of(x, data, length):
+            run, first, n = sorted_out(y, own, length)
+            out = y[run].copy()
             out["lo"] += first.astype(np.uint32)
             out["n"] = n
-            yield told(out, None)
-            lo = hi
+            if len(out):
+                yield told(out, None)
 
 
 def shorn(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -412,14 +472,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     spark = prepare(docs.sparkSession)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * tasks
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     known = rows.where(F.col("doc_id").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
+    repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    row = F.xxhash64("doc_id", "text") if repeated else F.lit(0).cast("long")  # tells rows of an id apart
+    known = known.select("doc_id", row.alias("row"), "text")
     long = known.where(F.octet_length("text") >= length)
-    every = max(1, docs.count() // SAMPLED)
+    size = long.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    every = max(1, size["n"] // SAMPLED)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (size["bytes"] or 0) // PER_BUCKET)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,20 +492,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 keys, n = np.unique(own, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
-    seen = long.where(F.pmod("row", F.lit(every)) == 0).select("text").mapInArrow(sampled, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    seen = long.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(sampled, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     often = np.sort(np.array([r["h"] for r in seen.where(F.col("n") >= FREQUENT).select("h").collect()], np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(often)
     parcel = "bucket int, kind int, data binary"
     found = "doc_id long, row long, lo int, n int, look boolean"
-    first = cut(long.mapInArrow(lambda it: dealt(it, length, shared.value, buckets), parcel).repartition("bucket").mapInArrow(compared, found))
-    release(spark)
+    dealt_by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    first = cut(dealt_by_bucket(long.mapInArrow(lambda it: dealt(it, length, shared.value, buckets), parcel)).mapInArrow(compared, found))
     by_row = first.where("look").groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "n")).alias("x"))
-    source = known.select("doc_id", "row", "text")
-    asked = source.join(by_row.select("doc_id", "row", F.col("x.lo").alias("los"), F.col("x.n").alias("ns")), ["doc_id", "row"])
-    sorted_ = asked.mapInArrow(lambda it: opened(it, length, shared.value, tasks), parcel).repartitionById(tasks, F.col("bucket")).mapInArrow(lambda it: sorted_buckets(it, length), found)
+    asked = known.join(by_row.select("doc_id", "row", F.col("x.lo").alias("los"), F.col("x.n").alias("ns")), ["doc_id", "row"])
+    sorted_ = dealt_by_bucket(asked.mapInArrow(lambda it: opened(it, length, shared.value, buckets), parcel)).mapInArrow(lambda it: sorted_buckets(it, length), found)
     covered = first.where("not look").unionByName(sorted_).select("doc_id", "row", "lo", "n")
     lists = covered.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "n")).alias("x")).select("doc_id", "row", F.col("x.lo").alias("los"), F.col("x.n").alias("ns"))
-    joined = source.join(lists, ["doc_id", "row"], "left").select(F.col("doc_id").cast(kind).alias("doc_id"), "text", "los", "ns")
+    joined = known.join(lists, ["doc_id", "row"], "left").select(F.col("doc_id").cast(kind).alias("doc_id"), "text", "los", "ns")
     none = F.lit(None).cast("array<int>")
     lost = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", none.alias("los"), none.alias("ns"))
     out = joined.unionByName(lost).mapInArrow(lambda it: shorn(it, length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -39,19 +38,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and cuts its lineage, so that a lost executor costs no recomputation."""
-    return df.checkpoint(eager=True)
+    """Writes df to the shared checkpoint folder and cuts its lineage, so that a lost executor costs no recomputation.
 
-
-def release(spark: SparkSession, rounds: int = 3) -> None:
-    """Lets Spark delete shuffle files of plans that nothing refers to any more; it does so only after a garbage collection.
-
-    Events of the last query still hold its plan for a moment after it ends, so the collection is repeated.
+    The shuffle files it was made from are deleted once it is written, as nothing reads them again.
     """
-    for _ in range(rounds):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    conf = df.sparkSession.conf
+    was = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(CLEANUP, was)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

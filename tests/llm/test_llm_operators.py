@@ -441,6 +441,29 @@ def test_repeats_in_periodic_and_overlapping_texts(spark, monkeypatch, frequent)
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got.collect()} == shorn(made)
 
 
+@pytest.mark.parametrize("small", [300, 1 << 19])
+def test_parts_of_a_bucket_give_the_same_spans(monkeypatch, small):
+    """A bucket in small parts (minimizers split by string, runs compared a few at a time) as in one."""
+    monkeypatch.setattr(repeated_spans, "SORTED", small)
+    monkeypatch.setattr(repeated_spans, "COMPARED", small)
+    r = random.Random(5)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(120))
+    made = [(k, "".join(r.choice("xyz ") for _ in range(r.randrange(60))) + passage[r.randrange(40) : 80 + r.randrange(40)] + "".join(r.choice("uvw ") for _ in range(30))) for k in range(80)]
+    made += [(100, "ab" * 300), (101, "ab" * 310)]
+    none = np.zeros(0, np.uint64)
+    by_bucket = lambda batches: pa.Table.from_batches(list(batches)).sort_by([("bucket", "ascending"), ("kind", "ascending")]).to_batches()
+    batch = pa.record_batch([pa.array([k for k, _ in made]), pa.array([0] * len(made)), pa.array([t for _, t in made])], ["doc_id", "row", "text"])
+    first = pa.Table.from_batches(list(repeated_spans.compared(iter(by_bucket(repeated_spans.dealt(iter([batch]), 50, none, 3)))))).to_pylist()
+    look = {k: [(x["lo"], x["n"]) for x in first if x["look"] and x["doc_id"] == k] for k, _ in made}
+    lists = [pa.array([[p[i] for p in look[k]] for k, _ in made], pa.list_(pa.int32())) for i in (0, 1)]
+    asked = pa.record_batch([*batch.columns, *lists], ["doc_id", "row", "text", "los", "ns"])
+    rest = pa.Table.from_batches(list(repeated_spans.sorted_buckets(iter(by_bucket(repeated_spans.opened(iter([asked]), 50, none, 3))), 50))).to_pylist()
+    own = {k: [x for x in first + rest if not x["look"] and x["doc_id"] == k] for k, _ in made}
+    texts = pa.record_batch([batch.column(0), batch.column(2), *(pa.array([[x[c] for x in own[k]] for k, _ in made], pa.list_(pa.int32())) for c in ("lo", "n"))], ["doc_id", "text", "los", "ns"])
+    got = pa.Table.from_batches(list(repeated_spans.shorn(iter([texts]), 50))).to_pylist()
+    assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == shorn(made)
+
+
 # 10: quality rules
 
 
