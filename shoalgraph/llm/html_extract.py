@@ -35,34 +35,37 @@ GONE = frozenset("head script style noscript template iframe object embed applet
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "body", "html", "legend"}
 #: Words in class, id or role that mark what isn't the article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored sponsors promo promos promotion sidebar sidebars aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar header footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager toolbar copyright legal disclaimer skip search searchbox contentinfo complementary dialog".split())
-# Words that make such a name one of a layout.
-LAYOUT = frozenset("has with no without".split())
+#: Words that may stand beside a mark in the name of a part of the page.
+PARTS = frozenset("area bar block body box button buttons container content form group inner item items link links list main outer page panel post posts row section site slot thread top unit wrap wrapper".split())
+#: Marks that inside an article name parts of it just as well.
+OWN = frozenset("alert banner dialog disclaimer header legal notice notices search skip".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 
 
-def marked(attrs: str) -> bool:
+def marked(attrs: str, article: bool) -> bool:
     """An element that its attributes name as something beside the article, or as hidden."""
     if not attrs or attrs.isspace():
         return False
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "style":
             if "display:none" in value.replace(" ", "").lower():
                 return True
-        elif any(named(one) for one in value.split()):
+        elif name in ("class", "id", "role") and any(named(one, article) for one in value.split()):
             return True
     return False
 
 
-def named(one: str) -> bool:
-    """A class name, id or role that holds a mark, and doesn't only say that the page has (or lacks) such a part."""
-    parts = SPLIT.split(CAMEL.sub(r"\1 \2", one).lower())
-    return not MARKS.isdisjoint(parts) and LAYOUT.isdisjoint(parts)
+def named(one: str, article: bool) -> bool:
+    """A whole class name, id or role that says nothing but a mark, perhaps with words for a part of the page and numbers."""
+    parts = [x for x in SPLIT.split(CAMEL.sub(r"\1 \2", one).lower()) if x and not x.isdigit()]
+    marks = MARKS - OWN if article else MARKS
+    return not marks.isdisjoint(parts) and all(x in marks or x in PARTS for x in parts)
 
 
 def role_main(attrs: str) -> bool:
@@ -134,7 +137,7 @@ class Page:
             return
         article = tag == "article"
         main = tag == "main" or (block and role_main(attrs))
-        named = tag not in ("html", "body", "article", "main") and not main and marked(attrs) and not (self.article and tag in ("header", "h1", "h2", "h3"))
+        named = tag not in ("html", "body", "article", "main") and not main and marked(attrs, bool(self.article)) and not (self.article and tag in ("header", "h1", "h2", "h3"))
         gone = tag in GONE or named or (tag == "header" and not self.article)
         if not self.article:
             self.trace.append(f"<{tag}")
