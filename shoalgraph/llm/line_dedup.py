@@ -6,7 +6,8 @@ diff on their line hashes. Aligned common blocks are deleted from the later docu
 are long enough not to be chance. Runs of lines that are just long enough for that belong to their first document in the
 same way: every line of a block that two documents share lies in such a run, so a block is paired with a document that
 holds it also where each of its lines stood alone in earlier ones. A document is paired with owners only, so the number
-of pairs grows with the number of lines, however many copies a line has.
+of pairs grows with the number of lines, however many copies a line has. Lines of very many documents (there can be only a
+few thousand of them) find their owner by broadcast, so that a line that all documents share lands in no single task.
 
 ``rare_share`` and ``rare_least`` are for callers who want frequent lines to stay: lines and runs that more documents hold
 then start no alignment. Unless they are asked for there is no such bound. Exact copies are no evidence of
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoalgraph.llm.blocks import mixed, powers
-from shoalgraph.llm.runtime import cut, prepare, text_or_empty
+from shoalgraph.llm.runtime import cut, prepare, text_or_empty, unused
 
+#: Documents of a line that is broadcast, at least, and how many such lines there can be.
+HOT, MOST = 100, 10_000
 WHITE = " \t\x0b\x0c\r"
 
 
@@ -86,15 +89,64 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return [(x, y, n) for x, y, n in blocks]
 
 
+def long_runs(h: np.ndarray, size: np.ndarray, offsets: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, end line, text, hash) of each text's shortest runs of ``min_chars`` from or up to each line."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    length = np.append(0, np.cumsum(size, dtype=np.int64))
+    power, inverse = powers(len(h) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(h * power[: len(h)]))
+    at = np.arange(len(h))
+    end = np.searchsorted(length, length[:-1] + min_chars)
+    first = np.searchsorted(length, length[1:] - min_chars, side="right") - 1
+    a, b = end <= offsets[1:][row], first >= offsets[:-1][row]
+    lo, hi, of = np.append(at[a], first[b]), np.append(end[a], at[b] + 1), np.append(row[a], row[b])
+    return lo, hi, of, mixed((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+
+
+def in_long_runs(mine: np.ndarray, sizes: np.ndarray, theirs: np.ndarray, min_chars: int) -> np.ndarray:
+    """Which lines lie in a run of at least ``min_chars`` that stands in the other text as well."""
+    lines, where = np.unique(mine, return_index=True)
+    at = np.minimum(np.searchsorted(lines, theirs), len(lines) - 1)
+    their_sizes = np.where(lines[at] == theirs, sizes[where[at]], min_chars)  # what isn't shared ends a run
+    lo, hi, _, own = long_runs(mine, sizes, np.array([0, len(mine)]), min_chars)
+    shared = np.isin(own, long_runs(theirs, their_sizes, np.array([0, len(theirs)]), min_chars)[3])
+    edge = np.zeros(len(mine) + 1, np.int64)
+    np.add.at(edge, lo[shared], 1)
+    np.add.at(edge, hi[shared], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def overlap(mine: np.ndarray, sizes: np.ndarray, theirs: np.ndarray, min_chars: int) -> set[int]:
+    """Lines in aligned blocks of at least ``min_chars``.
+
+    A block that crosses others (as it was moved) isn't aligned with them, so what is left of long common runs is aligned
+    again until nothing more is found. A line long enough by itself counts wherever the text holds it.
+    """
+    lines, other = mine.tolist(), theirs.tolist()
+    gone = {k for x, _, n in patience(lines, other) if sizes[x : x + n].sum() >= min_chars for k in range(x, x + n)}
+    shared = np.isin(mine, theirs)
+    if shared.sum() == len(gone) or sizes[shared].sum() < min_chars:
+        return gone
+    left = set(np.flatnonzero(in_long_runs(mine, sizes, theirs, min_chars)).tolist())
+    while True:
+        alone = {lines[k] for k in gone if sizes[k] >= min_chars}
+        gone |= {k for k in left if lines[k] in alone}
+        left -= gone
+        rest = [k if k in left else -1 for k in range(len(lines))]
+        rest = [k for i, k in enumerate(rest) if k >= 0 or (i and rest[i - 1] >= 0)]  # one gap between what is left
+        new = {rest[k] for x, _, n in patience([lines[k] if k >= 0 else None for k in rest], other) for k in range(x, x + n)} if left else set()
+        if not new:
+            return gone
+        gone |= new
+
+
 def alignments(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     """Columns later, lines, sizes, owner's lines -> later and the lines to delete."""
     for batch in batches:
         ids, out = [], []
         for i in range(batch.num_rows):
-            mine = batch.column(1)[i].values.to_pylist()
-            sizes = batch.column(2)[i].values.to_pylist()
-            theirs = batch.column(3)[i].values.to_pylist()
-            gone = [k for x, _, n in patience(mine, theirs) if sum(sizes[x : x + n]) >= min_chars for k in range(x, x + n)]
+            mine, sizes, theirs = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            gone = sorted(overlap(mine.view(np.uint64), sizes, theirs.view(np.uint64), min_chars))
             if gone:
                 ids.append(i)
                 out.append(gone)
@@ -109,18 +161,9 @@ def starts(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Rec
         offsets = batch.column(1).offsets.to_numpy()
         offsets = offsets - offsets[0]
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-        length = np.append(0, np.cumsum(size, dtype=np.int64))
-        power, inverse = powers(len(h) + 1)
-        sums = np.append(np.uint64(0), np.cumsum(h * power[: len(h)]))
-        at = np.arange(len(h))
-        end = np.searchsorted(length, length[:-1] + min_chars)
-        first = np.searchsorted(length, length[1:] - min_chars, side="right") - 1
-        a, b = end <= offsets[1:][row], first >= offsets[:-1][row]
-        lo, hi, of = np.append(at[a], first[b]), np.append(end[a], at[b] + 1), np.append(row[a], row[b])
+        lo, hi, of, runs = long_runs(h, size, offsets, min_chars)
         more = hi - lo > 1
-        lo, hi, of = lo[more], hi[more], of[more]
-        runs = mixed((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
-        keys, of = np.append(h, runs), np.append(row, of)
+        keys, of = np.append(h, runs[more]), np.append(row, of[more])
         order = np.lexsort((keys, of))
         keys, of = keys[order], of[order]
         new = np.ones(len(keys), bool)
@@ -143,12 +186,15 @@ def removals(docs: DataFrame, rare_share: float | None, rare_least: int, min_cha
     firsts = rows.groupBy("key").agg(F.min_by(F.struct("lines", "sizes"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id")).select("doc_id", "key", "x.*")
     firsts = cut(firsts)
     kind = docs.schema[id_col].dataType.simpleString()
-    lines = firsts.select("doc_id", "lines", "sizes").mapInArrow(lambda it: starts(it, min_chars), f"doc_id {kind}, line long")
+    lines = cut(firsts.select("doc_id", "lines", "sizes").mapInArrow(lambda it: starts(it, min_chars), f"doc_id {kind}, line long"))
     owners = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df")).where(F.col("df") > 1)
     if rare_share is not None:
         owners = owners.where(F.col("df") <= max(rare_least, int(rare_share * firsts.count())))
-    owners = owners.drop("df")
-    pairs = lines.join(owners, "line").where(F.col("doc_id") != F.col("owner")).select(F.col("doc_id").alias("later"), "owner").distinct()
+    owners = cut(owners)
+    hot = F.col("df") >= max(HOT, (owners.agg(F.sum("df")).first()[0] or 0) // MOST)
+    often = F.broadcast(owners.where(hot).select("line", "owner"))
+    owned = lines.join(often, "line").unionByName(lines.join(F.broadcast(owners.where(hot).select("line")), "line", "left_anti").join(owners.where(~hot).drop("df"), "line"))
+    pairs = owned.where(F.col("doc_id") != F.col("owner")).select(F.col("doc_id").alias("later"), "owner").distinct()
     later = firsts.select(F.col("doc_id").alias("later"), "lines", "sizes")
     owner = firsts.select(F.col("doc_id").alias("owner"), F.col("lines").alias("theirs"))
     aligned = pairs.join(owner, "owner").join(later, "later").select("later", "lines", "sizes", "theirs")
@@ -170,10 +216,10 @@ def dedup_lines(docs: DataFrame, rare_share: float | None = None, rare_least: in
     """
     prepare(docs.sparkSession)
     cuts = removals(docs, rare_share, rare_least, min_chars, id_col, text_col)
-    own, gone = "_shoal_text_key", "_shoal_gone"
-    cuts = cuts.select(F.col("key").alias("_shoal_key"), F.col("doc_id").alias("_shoal_id"), F.col("gone").alias(gone))
+    own, gone, key, key_id = unused(docs, "text_key", "gone", "cut_key", "cut_id")
+    cuts = cuts.select(F.col("key").alias(key), F.col("doc_id").alias(key_id), F.col("gone").alias(gone))
     keyed = docs.withColumn(own, F.unhex(F.md5(text_or_empty(text_col).cast("binary"))))
-    found = keyed.join(cuts, (F.col(own) == F.col("_shoal_key")) & (F.col(f"`{id_col}`") == F.col("_shoal_id")), "left")
+    found = keyed.join(cuts, (F.col(own) == F.col(key)) & (F.col(f"`{id_col}`") == F.col(key_id)), "left")
     if report:
         kind = docs.schema[id_col].dataType.simpleString()
         chosen = found.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"), gone)
