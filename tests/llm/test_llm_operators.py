@@ -17,6 +17,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shoalgraph.llm import bagminhash, html_extract, license_scan, line_dedup, lsa_decontam, packing, quality_rules, queries, repeated_spans, sharding, token_counts
@@ -80,6 +81,41 @@ def test_blocks_of_frequent_lines_are_deleted(spark):
     assert got[70].text == "head of 70\ntail of 70" and got[170].text == "own line of document number 170 and of nobody else"
 
 
+def test_moved_and_repeated_blocks_overlap():
+    size = np.array([30, 30, 50, 9, 30, 30, 50, 50])
+    mine, theirs = np.array([1, 2, 3, 4, 5, 6, 3, 7], np.uint64), np.array([9, 5, 6, 4, 3, 8, 1, 2], np.uint64)
+    assert line_dedup.overlap(mine, size, theirs, 40) == {0, 1, 2, 4, 5, 6}
+    assert line_dedup.overlap(mine, size, np.array([4, 9, 1, 8, 6], np.uint64), 40) == set()
+
+
+def test_line_dedup_against_all_pairs(spark, rows):
+    """The query against patience diff of every text with every earlier one: no block is lost, and nothing else goes."""
+    lines = {k: [s.strip(line_dedup.WHITE) for s in t.split("\n") if s.strip(line_dedup.WHITE)] for k, t in rows.items()}
+    hashed = lambda x: np.array([int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "big") for s in x], np.uint64)
+    first = {}
+    for k in sorted(rows):
+        if lines[k]:
+            first.setdefault(rows[k], k)
+    holders = collections.defaultdict(list)
+    for k in sorted(first.values()):
+        for x in set(lines[k]):
+            holders[x].append(k)
+    want = {}
+    for k, x in lines.items():
+        if first.get(rows[k], k) != k:
+            want[k] = set(range(len(x)))
+            continue
+        want[k] = set()
+        for other in {o for line in x for o in holders[line] if o < k} if k in first.values() else ():
+            want[k] |= line_dedup.overlap(hashed(x), np.array(list(map(len, x))), hashed(lines[other]), 40)
+    got = by_id(queries.op1_line_dedup(spark, SF))
+    assert {k: r.n_lines for k, r in got.items()} == {k: len(x) for k, x in lines.items()}
+    assert {k: r.n_removed for k, r in got.items()} == {k: len(x) for k, x in want.items()}
+    assert sum(map(len, want.values())) > 0
+    kept = {k: [s.strip(line_dedup.WHITE) for s in r.text.split("\n") if s.strip(line_dedup.WHITE)] for k, r in got.items()}
+    assert kept == {k: [s for i, s in enumerate(x) if i not in want[k]] for k, x in lines.items()}
+
+
 # 2: main text
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use</div>
@@ -92,6 +128,19 @@ def test_main_text():
     assert html_extract.Page("").main_text(set()) == "" and html_extract.Page("<p>x").main_text(set()) == "x"
 
 
+#: What stays of an article, and what goes from it.
+STAYS = """<p title="the hidden valley">a</p>|<p data-hidden="false">a</p>|<p>a <a href="/p?id=comment">this link</a></p>|<div data-id="share-7">a</div>|<p><b title="class=ad">a</b></p>|<div class="entry-header">a</div>|<div class="legal-history">a</div>
+<div class="widget-market">a</div>|<div class="header">a</div>|<p class='lead legal'>a</p>|<p style="color:red" id=x1>a</p>|<p aria-hidden=false>a</p>|<div class="has-sidebar no-comments">a</div>""".replace("\n", "|").split("|")
+GOES = """<div class="comments">a</div>|<div id="comment-42">a</div>|<div class="x ad-slot">a</div>|<div class=shareButtons>a</div>|<p hidden>a</p>|<p style="display: none">a</p>|<ul role="navigation"><li>a</ul>|<div class='related_posts'>a</div>|<p aria-hidden="true">a</p>""".split("|")
+
+
+def test_attributes_are_read_whole():
+    text = lambda part, around: html_extract.Page(f"<body><{around}><h1>T</h1>{part}</{around}></body>").main_text(set())
+    assert all(text(x, "article").split("\n\n")[1:] in (["a"], ["a this link"]) for x in STAYS)
+    assert all(text(x, around) == "T" for x in GOES for around in ("article", "div"))
+    assert all(text(x, "div") != "T" for x in STAYS if 'class="header"' not in x and "lead" not in x)
+
+
 def test_templates_go_only_where_they_recur(spark):
     page = lambda k, host: (k, f"http://{host}/{k}", f"<body><div><p>Follow us on our channels</p></div><div><h1>Title {k}</h1><p>{'word ' * 9}{k} {host}</p></div></body>")
     pages = spark.createDataFrame([page(k, "a.example") for k in range(12)] + [page(k + 100, "b.example") for k in range(3)] + [(200, None, None)], "page_id long, url string, html string")
@@ -489,15 +538,60 @@ def test_quality(spark, docs, rows):
     assert len([k for k in clean if k in kept]) >= 0.97 * len(clean) and len([k for k in junk if k in kept]) <= 0.1 * len(junk)
 
 
-def test_posteriors_follow_single_rules():
-    good = sum((2 if j in (6, 7) else 1) * 3 ** (8 - j) for j in range(9))  # long enough, and sentences end
-    clean, code = good, lambda j, v: good + (v - 1) * 3 ** (8 - j)
-    counts = {clean: 900} | {code(j, 0): 20 for j in (0, 2, 3)}
-    post = quality_rules.posteriors(counts)
-    assert post[clean] > 0.7 and all(post[code(j, 0)] < 0.5 for j in (0, 2, 3))
+def plain_em(rows, rounds=quality_rules.ROUNDS):
+    """P(good) of every row of votes (0 bad, 1 none, 2 good), row by row."""
+    x = np.array(rows)
+    prior = {c: np.array(p) for c, p in quality_rules.PRIOR.items()}
+    weight = quality_rules.WEIGHT * len(x) + 1
+    q = (1 + (x == 2).sum(1)) / (2 + (x != 1).sum(1))
+    for _ in range(rounds):
+        odds = np.zeros(len(x))
+        for c, mass in ((True, q), (False, 1 - q)):
+            whole = mass.sum() + weight
+            like = np.array([[(mass[x[:, j] == v].sum() + weight * prior[c][v]) / whole for v in range(3)] for j in range(x.shape[1])])
+            odds += (1 if c else -1) * (np.log(like)[np.arange(x.shape[1]), x].sum(1) + np.log(whole))
+        q = 1 / (1 + np.exp(-odds))
+    return q
+
+
+def pattern(votes):
+    return sum(v * 3 ** (len(votes) - 1 - j) for j, v in enumerate(votes))
+
+
+def test_posteriors_are_those_of_a_plain_em():
+    r = random.Random(2)
+    odd = lambda good: [r.choices([0, 1, 2], [[6, 3, 1], [1, 3, 6]][good])[0] for _ in quality_rules.RULES]
+    rows = [odd(k % 4 > 0) for k in range(400)]
+    post = quality_rules.posteriors(collections.Counter(map(pattern, rows)))
+    assert np.allclose([post[pattern(x)] for x in rows], plain_em(rows), atol=1e-9)
+    right = sum((post[pattern(x)] >= 0.5) == (k % 4 > 0) for k, x in enumerate(rows))
+    assert right > sum((0 not in x) == (k % 4 > 0) for k, x in enumerate(rows)) and right >= 0.97 * len(rows)
     assert quality_rules.posteriors({}) == {}
 
 
+def test_no_rule_has_a_veto_and_silence_counts():
+    n = len(quality_rules.RULES)
+    noisy = [[0 if k % 3 == 0 else 2, *[2] * (n - 1)] for k in range(600)]  # the first rule errs on a third of the good texts
+    bad = [[r, *[0] * 4, *[1] * (n - 5)] for r in (0, 2) for _ in range(100)]  # the last ones keep silent on bad texts
+    post = quality_rules.posteriors(collections.Counter(map(pattern, noisy + bad)))
+    assert post[pattern([0, *[2] * (n - 1)])] > 0.9
+    silent = quality_rules.posteriors(collections.Counter(map(pattern, [*noisy, *bad, [1] * n])))
+    assert silent[pattern([1] * n)] < 0.5
+
+
+def test_posteriors_beat_all_must_pass_on_labels(spark):
+    """Of labelled documents that aren't base_failed, more good ones are kept than without any bad vote, and not more bad ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    kept = quality_rules.quality_report(docs).where("not base_failed").select("doc_id", "kept")
+    votes = docs.join(labels, "doc_id").select("doc_id", "quality", "toxic", quality_rules.coded(quality_rules.let(F.col("text"), quality_rules.measures)).alias("p"))
+    got = votes.join(kept, "doc_id").collect()
+    passed = {r.doc_id for r in got if 0 not in quality_rules.digits(r.p)}
+    stays = {r.doc_id for r in got if r.kept}
+    clean, junk = {r.doc_id for r in got if r.quality and not r.toxic}, {r.doc_id for r in got if not r.quality}
+    assert len(clean & stays) > len(clean & passed) and len(junk & stays) <= len(junk & passed)
+    assert len(clean & stays) >= 0.99 * len(clean) and len(junk & stays) <= 0.02 * len(junk)
+
+
 # All: odd rows and empty tables
 
 
