@@ -53,6 +53,8 @@ class Encoder:
         return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
 
+#: Parts in which pieces of one length are numbered at once: whole windows (most pieces), and any other length.
+PARTS = 4096, 64
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -158,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = 20
     counts = {int(r["length"]): r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = place_rows(plan(counts, length))
     table = spark.createDataFrame(rows, "length long, low long, high long, each long, first_sequence long, first_offset long")
-    ranked = numbered(made, ["length"], [F.col("doc_id"), F.col("start")], "rank", F.xxhash64("doc_id", "start", "ids_crc32"), 64)
+    ranked = numbered(made, ["length"], [F.col("doc_id"), F.col("start")], "rank", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.when(F.col("length") == length, PARTS[0]).otherwise(PARTS[1])))
     placed = ranked.alias("p").join(F.broadcast(table).alias("t"), (F.col("p.length") == F.col("t.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     step = F.col("rank") - F.col("low")
     return placed.select(

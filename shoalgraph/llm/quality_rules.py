@@ -22,6 +22,8 @@ WINDOW = 8
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: A word or number with the punctuation of prose.
 PLAIN = "^[(\"'«“]*[\\p{L}\\p{N}][\\p{L}\\p{N}'’.,:-]*[!?;]?[)\"'»”]?\\z"
+#: A line that ends as a sentence does.
+ENDED = "[.!?:;\"'»”)][\\x20\\x09-\\x0D]*\\z"
 #: Common function words of English, German, Spanish and French.
 FUNCTION_WORDS = sorted(
     {
@@ -78,7 +80,7 @@ def measures(text: Column) -> Column:
         return F.struct(
             F.size(x).cast("long").alias("n_lines"),
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter(x, lambda s: s.rlike("[.!?:;\"'»”)][\\x20\\x09-\\x0D]*\\z"))).cast("long").alias("n_ended"),
+            F.size(F.filter(x, lambda s: s.rlike(ENDED))).cast("long").alias("n_ended"),
         )
 
     return F.struct(

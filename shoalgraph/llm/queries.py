@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shoalgraph.llm import oracle
 from shoalgraph.llm.bagminhash import near_duplicates
 from shoalgraph.llm.html_extract import extract_main_text
 from shoalgraph.llm.line_dedup import dedup_lines
@@ -56,12 +57,16 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(read(spark, sf_dir, "documents"))
+    return quality_report(read(spark, sf_dir, "documents")).drop("p_good")
+
+
+ALL = [op1_line_dedup, op2_html_extraction, op3_minhash, op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op8_decontamination, op9_suffix_dedup, op10_quality_rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_html_extraction, op3_minhash, op4_sharding, op5_packing, op6_license_scan, op7_token_counts, op8_decontamination, op9_suffix_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express; tests hold the others against brute force."""
+    return oracle.oracle_sql()

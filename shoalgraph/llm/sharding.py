@@ -1,6 +1,6 @@
 """Shards of near-equal bytes by minimax contiguous partition, in DataFrame operations only.
 
-Atomic groups (equal texts) are ordered by a 64-bit hash of the text. The smallest feasible shard
+Atomic groups (equal texts) are ordered by 60 bits of the text's MD5. The smallest feasible shard
 capacity is found by binary search; a capacity is checked by cutting greedily. The check needs, for a
 running byte count, the last group boundary at or below it. Boundaries stay distributed: the driver
 holds prefix sums at the edges of hash cells, at first 4,096 of them, and splits into 64 only those
@@ -112,18 +112,24 @@ def partition(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         cells = sorted([c for i, c in enumerate(cells) if i not in split] + finer, key=lambda c: c.low)
 
 
-def numbered(df: DataFrame, by: list[str], order: list[Column], out: str, salt: Column, salts: int = 256) -> DataFrame:
-    """Gapless numbers from 0 within each group of ``by``; a group is numbered in ``salts`` parts at once.
+def numbered(df: DataFrame, by: list[str], order: list[Column], out: str, part: Column) -> DataFrame:
+    """Gapless numbers from 0 within each group of ``by``, in the order of ``part`` and then of ``order``.
 
-    ``by`` must have a bounded number of values: a count for each value and part is broadcast.
+    A group is numbered in all its parts at once. ``by`` and ``part`` must have a bounded number of values: a count for each
+    pair of them is broadcast.
     """
-    df = df.withColumn("_part", F.pmod(salt, F.lit(salts)).cast("int"))
+    df = df.withColumn("_part", part.cast("int"))
     counts = df.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
     before = counts.select(*by, "_part", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1
     return df.join(F.broadcast(before), [*by, "_part"]).withColumn(out, (F.col("_before") + within).cast("long")).drop("_part", "_before")
 
 
+def digits(text: Column, n: int) -> Column:
+    """The first n hexadecimal digits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, n), 16, 10).cast("long")
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shards 0 to n_shards - 1 of documents, rows with equal texts together, the largest shard as small as it can be.
 
@@ -137,7 +143,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
             F.col(id_col).alias("doc_id"),
             (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.xxhash64(text).alias("h"),
+            F.shiftleft(digits(text, 15) - F.lit(1 << 59), 4).alias("h"),  # 60 bits, spread over all 64
         )
     )
     groups = cut(base.groupBy("h").agg(F.sum("size").alias("bytes")))
@@ -156,5 +162,5 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     for k, h in enumerate(alone):
         shard = F.when(F.col("h") == h, F.lit(k)).otherwise(shard)
     dealt = base.withColumn("shard", shard.cast("int"))
-    out = numbered(dealt, ["shard"], [F.col("doc_id"), F.col("h")], "slot", F.xxhash64("doc_id", "h"))
+    out = numbered(dealt, ["shard"], [F.col("doc_id"), F.col("h")], "slot", digits(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 2))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -20,7 +20,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shoalgraph.llm import bagminhash, html_extract, license_scan, line_dedup, lsa_decontam, packing, quality_rules, queries, repeated_spans, sharding, token_counts
+from compare import canon, oracle_rows
+from shoalgraph.llm import bagminhash, html_extract, license_scan, line_dedup, lsa_decontam, oracle, packing, quality_rules, queries, repeated_spans, sharding, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -592,6 +593,16 @@ def test_posteriors_beat_all_must_pass_on_labels(spark):
     assert len(clean & stays) >= 0.99 * len(clean) and len(junk & stays) <= 0.02 * len(junk)
 
 
+# All: SQL
+
+
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    got, want = queries.queries()[name](spark, SF), oracle_rows(SF, oracle.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert canon(got.toPandas()) == canon(want)
+
+
 # All: odd rows and empty tables
 
 
