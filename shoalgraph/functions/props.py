@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,14 +12,22 @@ from shoalgraph.functions.text import strip
 KIND = "array<struct<k:string,v:string>>"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_props(c: Column) -> Column:
     """Items with "=", split at the first one, trimmed; the last of equal keys stays, in the order of first appearance by
     last value. Null, "null" and "" give no items."""
     items = F.filter(F.split(c, ";"), lambda s: s.contains("="))
     pairs = F.transform(items, lambda s: F.struct(strip(F.substring_index(s, "=", 1)).alias("k"), strip(F.substr(s, F.instr(s, "=") + 1)).alias("v")))
-    keys = lambda p: F.transform(p, lambda x: x["k"])
-    last = F.filter(pairs, lambda x, i: ~F.array_contains(keys(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0)))), x["k"]))
-    return F.when(c.isNull() | c.isin("", "null"), F.array().cast(KIND)).otherwise(last)
+
+    def last(p: Column) -> Column:
+        after = lambda i: F.slice(p, i + 2, F.greatest(F.size(p) - i - 1, F.lit(0)))
+        return F.filter(p, lambda x, i: ~F.exists(after(i), lambda y: y["k"].eqNullSafe(x["k"])))
+
+    return F.when(c.isNull() | c.isin("", "null"), F.array().cast(KIND)).otherwise(bound(pairs, last))
 
 
 def normalize_props(pairs: Column) -> Column:
