@@ -144,6 +144,16 @@ def admin_rollup(graph: DataFrame) -> DataFrame:
     return districts.join(up("District", "City"), "District", "left").join(up("City", "Province"), "City", "left").select(F.col("District").alias("district"), F.col("City").alias("city"), F.col("Province").alias("province"))
 
 
+def resolved_places(graph: DataFrame) -> DataFrame:
+    """(species, place, parent) of every place that a species is reported in, with what the place is located in.
+
+    Our definition of the step that selects exact places: a place that is located in no other has a null parent.
+    """
+    reported = graph.where("rel = 'REPORTED_IN'").select(F.col("src_name").alias("species"), F.col("dst_name").alias("place")).distinct()
+    located = graph.where("rel = 'LOCATED_IN'").select(F.col("src_name").alias("place"), F.col("dst_name").alias("parent")).distinct()
+    return reported.join(located, "place", "left").select("species", "place", "parent")
+
+
 #: Intent name: relation filter, whether the subject is the target of the edge.
 INTENTS = {
     "distribution": (["REPORTED_IN"], False),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalgraph.functions.text import not_blank, strip
+from shoalgraph.session import shared_folder
 
 EARTH_KM = 6371.0
 #: Gazetteer rows up to which it is broadcast (counted first).
@@ -47,18 +48,40 @@ def haversine_km(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colu
 
 
 def reverse(points: DataFrame, gazetteer: DataFrame, id_col: str, degrees: float = 10.0) -> DataFrame:
-    """Nearest gazetteer place of each point within ``degrees`` of latitude and longitude (ties by name); null if none.
+    """Nearest gazetteer place of each point with coordinates (ties by name); null without any place.
 
-    Points and places meet on grid cells of that side (a place is copied to its 9 neighbouring cells), so neither
-    side is joined with all of the other.
+    Points and places meet on grid cells (a place is copied to its 9 neighbouring cells, and across the date line), so
+    neither side is joined with all of the other. A point whose nearest place so found may not be the nearest, as the window
+    reaches less far, is searched again with a window of twice the side, until none is left; the last window is the globe.
     """
+    places = gazetteer.dropna(subset=["lng", "lat"]).select(F.col("name").alias("place"), F.col("lng").alias("place_lng"), F.col("lat").alias("place_lat"))
+    left, done = points.dropna(subset=["lng", "lat"]).select(id_col, "lng", "lat"), None
+    shared_folder(points.sparkSession)
+    while True:
+        degrees = min(degrees, 180.0)
+        found = _within(left, places, id_col, degrees)
+        # the least distance of a place outside the window: that of the meridian on its side
+        reach = EARTH_KM * F.asin(F.sin(F.radians(F.lit(min(degrees, 90.0)))) * F.cos(F.radians("lat")))
+        proven = F.coalesce(F.col("km") <= reach, F.lit(False)) if degrees < 180 else F.lit(True)
+        found = found.withColumn("proven", proven).checkpoint(eager=True)
+        settled = found.where("proven").select(id_col, "place", "km")
+        done = settled if done is None else done.unionByName(settled)
+        left = found.where("not proven").select(id_col, "lng", "lat")
+        if degrees == 180 or left.isEmpty():
+            return done
+        degrees *= 2
+
+
+def _within(at: DataFrame, places: DataFrame, id_col: str, degrees: float) -> DataFrame:
+    """(id, lng, lat, place, km): the nearest place within ``degrees`` of latitude and longitude."""
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     cell = lambda c: F.floor(F.col(c) / degrees)
-    places = gazetteer.select(F.col("name").alias("place"), F.col("lng").alias("place_lng"), F.col("lat").alias("place_lat"), F.explode(near).alias("d"))
-    places = places.withColumn("_i", cell("place_lng") + F.col("d.i")).withColumn("_j", cell("place_lat") + F.col("d.j")).drop("d")
-    at = points.dropna(subset=["lng", "lat"]).withColumn("_pi", cell("lng")).withColumn("_pj", cell("lat"))
+    turns = places.withColumn("place_lng", F.explode(F.transform(F.array(*map(F.lit, (-360, 0, 360))), lambda t: F.col("place_lng") + t)))
+    copies = turns.where(F.abs("place_lng") <= 180 + degrees).withColumn("d", F.explode(near))
+    copies = copies.withColumn("_i", cell("place_lng") + F.col("d.i")).withColumn("_j", cell("place_lat") + F.col("d.j")).drop("d")
+    asked = at.withColumn("_pi", cell("lng")).withColumn("_pj", cell("lat"))
     close = (F.abs(F.col("lng") - F.col("place_lng")) <= degrees) & (F.abs(F.col("lat") - F.col("place_lat")) <= degrees)
-    both = at.join(_small(places), (F.col("_pi") == F.col("_i")) & (F.col("_pj") == F.col("_j")) & close, "left")
+    both = asked.join(_small(copies), (F.col("_pi") == F.col("_i")) & (F.col("_pj") == F.col("_j")) & close, "left")
     km = haversine_km(F.col("lng"), F.col("lat"), F.col("place_lng"), F.col("place_lat"))
     best = F.min(F.when(F.col("place").isNotNull(), F.struct(F.round(km, 6).alias("km"), F.col("place").alias("place"))))
-    return both.groupBy(id_col).agg(best.alias("b")).select(id_col, F.col("b.place").alias("place"), F.col("b.km").alias("km"))
+    return both.groupBy(id_col, "lng", "lat").agg(best.alias("b")).select(id_col, "lng", "lat", F.col("b.place").alias("place"), F.col("b.km").alias("km"))

@@ -39,6 +39,13 @@ REGION_EDGES = (
     "CAST(10 * (n_nationkey % 5) + t.x2 AS DOUBLE) AS x2, CAST(10 * CAST(FLOOR(n_nationkey / 5) AS INT) + t.y2 AS DOUBLE) AS y2 "
     f"FROM {{nation}} JOIN {values(SIDES, 'kind, ring, seq, x1, y1, x2, y2')} t ON t.kind = n_nationkey % 5"
 )
+#: Every nation's square in an eastern and a western half.
+HALVES = [(half, k, *pts[k], *pts[(k + 1) % 4]) for half, pts in (("west", [(0, 0), (5, 0), (5, 10), (0, 10)]), ("east", [(5, 0), (10, 0), (10, 10), (5, 10)])) for k in range(4)]
+CITY_EDGES = (
+    "SELECT CONCAT(n_name, ' ', t.half) AS region, 0 AS part, 0 AS ring, t.seq AS seq, CAST(10 * (n_nationkey % 5) + t.x1 AS DOUBLE) AS x1, CAST(10 * CAST(FLOOR(n_nationkey / 5) AS INT) + t.y1 AS DOUBLE) AS y1, "
+    "CAST(10 * (n_nationkey % 5) + t.x2 AS DOUBLE) AS x2, CAST(10 * CAST(FLOOR(n_nationkey / 5) AS INT) + t.y2 AS DOUBLE) AS y2 "
+    f"FROM {{nation}} CROSS JOIN {values(HALVES, 'half, seq, x1, y1, x2, y2')} t"
+)
 GAZETTEER = "SELECT n_name AS name, CAST(10 * (n_nationkey % 5) + 5 AS DOUBLE) AS lng, CAST(10 * CAST(FLOOR(n_nationkey / 5) AS INT) + 5 AS DOUBLE) AS lat FROM {nation}"
 ENDINGS = [(0, "省"), (1, "市"), (2, "区"), (3, "自治区"), (4, "县"), (5, "洲"), (6, "江"), (7, "地区"), (8, "")]
 RELS = [(k, r) for k, (r, _) in enumerate(literals.RELATIONS)] + [(27, "located_in"), (28, "  Causes　"), (29, "UNKNOWN_REL")]
@@ -55,6 +62,9 @@ GRAPH = (
     "UNION ALL SELECT 'City', n_name, 'LOCATED_IN', 'Province', r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 0 "
     "UNION ALL SELECT 'Species', c_name, 'REPORTED_IN', 'City', n_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey "
     "UNION ALL SELECT 'Species', c_name, CASE c_custkey % 4 WHEN 0 THEN 'BELONGS_TO' WHEN 1 THEN 'CAUSES' WHEN 2 THEN 'PREYS_ON' ELSE 'INTRODUCED_VIA' END, CASE c_custkey % 4 WHEN 0 THEN 'Taxonomy' WHEN 1 THEN 'Impact' WHEN 2 THEN 'Target' ELSE 'Pathway' END, c_mktsegment FROM {customer} "
+    "UNION ALL SELECT 'Species', c_name, 'THRIVES_IN', 'Habitat', CONCAT('waters of ', c_mktsegment) FROM {customer} WHERE c_custkey % 5 = 0 "
+    "UNION ALL SELECT 'Species', c_name, 'HAS_ALIAS', 'Alias', CONCAT('alias ', CAST(c_custkey AS STRING)) FROM {customer} WHERE c_custkey % 6 = 0 "
+    "UNION ALL SELECT 'Species', c_name, 'NATIVE_TO', 'Origin', n_name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 7 = 0 "
     "UNION ALL SELECT 'Control', c_mktsegment, 'MITIGATES', 'Species', c_name FROM {customer} WHERE c_custkey % 3 = 0 "
     "UNION ALL SELECT 'Species', CONCAT('Customer#', LPAD(CAST(o_custkey AS STRING), 9, '0')), 'HAS_EVENT', 'Event', CONCAT('Order#', CAST(o_orderkey AS STRING)) FROM {orders} "
     "UNION ALL SELECT 'Event', CONCAT('Order#', CAST(o_orderkey AS STRING)), 'DURING', 'TimePeriod', o_orderpriority FROM {orders} WHERE o_orderkey % 3 <> 0 "

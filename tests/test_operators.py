@@ -1,5 +1,6 @@
 """Spatial, graph, layer, raster, chat, report and source operators on small fixtures."""
 
+import math
 import random
 
 import pytest
@@ -132,7 +133,52 @@ def test_reports(spark):
     assert [r.reason for r in reports.checked(rows, F.lit(2026)).orderBy("id").collect()] == ["lng", "lat", "year", "year", None, "lng"]
     places = spark.createDataFrame([("a", 0.0, 0.0), ("b", 3.0, 0.0)], "name string, lng double, lat double")
     found = {r.id: r.place for r in reports.reverse(spark.createDataFrame([(1, 1.0, 0.0), (2, 2.0, 0.0), (3, 90.0, 80.0)], "id int, lng double, lat double"), places, "id").collect()}
-    assert found == {1: "a", 2: "b", 3: None}
+    assert found == {1: "a", 2: "b", 3: "b"}
+    r = random.Random(3)
+    where = lambda: (r.uniform(-180, 180), r.uniform(-90, 90))
+    there, here = [(f"p{k}", *where()) for k in range(30)], [(k, *where()) for k in range(150)] + [(200, 179.9, 1.0), (201, None, 1.0)]
+    there.append(("line", -179.9, 1.0))
+    rad = math.radians
+    km = lambda a, b: 2 * 6371 * math.asin(math.sqrt(math.sin(rad(b[2] - a[2]) / 2) ** 2 + math.cos(rad(a[2])) * math.cos(rad(b[2])) * math.sin(rad(b[1] - a[1]) / 2) ** 2))
+    near = reports.reverse(spark.createDataFrame(here, "id int, lng double, lat double"), spark.createDataFrame(there, "name string, lng double, lat double"), "id", 5.0)
+    assert {x.id: x.place for x in near.collect()} == {h[0]: min(there, key=lambda t: km(h, t))[0] for h in here if h[1] is not None}
+    assert reports.reverse(rows, places.limit(0), "id").where("place is not null").isEmpty()
+
+
+def test_admin_fields(spark):
+    squares = lambda side: [e for i in range(4) for e in ring(f"s{side}-{i}", 0, 0, [(side * i, 0), (side * i + side, 0), (side * i + side, 9), (side * i, 9)])]
+    levels = {"province": spark.createDataFrame(squares(4), schemas.EDGES), "city": spark.createDataFrame(squares(2), schemas.EDGES)}
+    pts = spark.createDataFrame([(1, 1.0, 1.0, "stored"), (2, 5.0, 1.0, None), (3, 50.0, 1.0, None), (4, None, 1.0, None)], "id int, lng double, lat double, city string")
+    got = {r.id: (r.province, r.city) for r in spatial.with_admin(pts, "id", levels).collect()}
+    assert got == {1: ("s4-0", "stored"), 2: ("s4-1", "s2-2"), 3: (None, None), 4: (None, None)}
+    both = spatial.merged_points(*[spark.createDataFrame([("a", 1.0, 1.0, 2000, n, p)], "species_label string, lng double, lat double, year int, count int, province string") for n, p in ((2, None), (None, "x"))])
+    assert [(r.province, r["count"]) for r in both.collect()] == [("x", 3)]
+    assert spatial.points_in_regions(pts, levels["city"].limit(0)).where("province_name is not null").isEmpty()
+
+
+def test_files_of_many_splits(spark, tmp_path):
+    path = tmp_path / "big.asc"
+    path.write_text("ncols 2\nnrows 4000\nnodata_value -9999\n\n" + "".join(f"{k} {-k}\n" + "\n" * (k % 3 == 0) for k in range(4000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        cells, _ = tables.ascii_grid(spark, str(path))
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 3
+        assert cells.count() == 8000 and cells.where("value != row * (1 - 2 * col)").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_graph_is_replaced_in_one_step(spark, tmp_path):
+    g = lambda name: spark.createDataFrame([("Species", name)], "label string, name string")
+    folder = str(tmp_path / "graph")
+    for name in "abc":
+        tables.write_graph(g(name), g(name), folder)
+        assert [r.name for r in tables.read_graph(spark, folder)[0].collect()] == [name]
+    broken = g("d").withColumn("name", F.raise_error(F.lit("no"))) if hasattr(F, "raise_error") else None
+    with pytest.raises(Exception, match="no"):
+        tables.write_graph(g("d"), broken, folder)
+    assert [r.name for r in tables.read_graph(spark, folder)[0].collect()] == ["c"]
 
 
 def test_sources(spark, tmp_path):
