@@ -2,8 +2,8 @@
 
 A text becomes its lower-case words joined by single spaces. A rule is a regular expression over such
 words with a label, a priority and a keyword; rules run only on texts that hold their keyword, and
-texts that hold none skip all of them. Detections are word intervals. One that lies within another
-goes; of two equal or partly overlapping ones the higher priority (then the earlier one) stays.
+texts that hold none at the start of a word skip all of them. Detections are word intervals. One that lies
+within another goes; of partly overlapping ones that with the higher priority (then the earlier one) stays.
 Everything happens within a row, so nothing is shuffled.
 """
 
@@ -106,20 +106,27 @@ def places(text: Column, regex: Column, extra: list[Column]) -> Column:
 
 
 def resolved(detections: Column) -> Column:
-    """Detections (sorted by start, then longest, then highest priority) that no other one suppresses."""
+    """Detections (sorted by start, then longest, then highest priority) that no other one suppresses.
+
+    First those within another one go. Then the others are taken by priority (then by start), and each stays unless it overlaps
+    one that stays; so what a suppressed one overlapped is not lost with it.
+    """
     kind = "array<struct<s:int,minus_e:int,minus_p:int,label:string>>"
-    last = lambda a: F.element_at(a, -1)
+    none = F.array().cast(kind)
+
+    def outermost(acc: Column, d: Column) -> Column:
+        more = F.struct((-d["minus_e"]).alias("m"), F.concat(acc["out"], F.array(d)).alias("out"))
+        return F.when(-d["minus_e"] <= acc["m"], acc).otherwise(more)
+
+    def strongest(kept: Column, d: Column) -> Column:
+        overlaps = F.exists(kept, lambda k: (k["s"] < -d["minus_e"]) & (d["s"] < -k["minus_e"]))
+        return F.when(overlaps, kept).otherwise(F.concat(kept, F.array(d)))
 
-    def step(kept: Column, d: Column) -> Column:
-        return (
-            F.when(F.size(kept) == 0, F.array(d))
-            .when(d["minus_e"] >= last(kept)["minus_e"], kept)  # within the last one
-            .when(d["s"] >= -last(kept)["minus_e"], F.concat(kept, F.array(d)))
-            .when(d["minus_p"] < last(kept)["minus_p"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(d)))
-            .otherwise(kept)
-        )
+    def by_priority(outer: Column) -> Column:
+        ranked = F.sort_array(F.transform(outer, lambda d: F.struct(d["minus_p"].alias("p"), d["s"].alias("s"), d.alias("d"))))
+        return F.aggregate(F.transform(ranked, lambda r: r["d"]), none, strongest)
 
-    return F.aggregate(detections, F.array().cast(kind), step)
+    return let(F.aggregate(detections, F.struct(F.lit(-1).alias("m"), none.alias("out")), outermost, lambda acc: acc["out"]), by_priority)
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +139,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = rules()
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     keywords = sorted({k for _, _, _, k in every})
-    gate = "|".join(k.replace(" ", NOT_WORD) for k in keywords if not any(o != k and k.startswith(o) for o in keywords))
+    gate = f"(?:^|{NOT_WORD[:-1]})(?:" + "|".join(k.strip().replace(" ", NOT_WORD) for k in keywords if not any(o != k and k.startswith(o) for o in keywords)) + ")"
     base_regex = framed("|".join(BASE))
     lowered = F.translate(text_or_empty(text_col), upper, upper.lower())
 
@@ -142,7 +149,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = [F.struct(F.lit(framed(r)).alias("r"), F.lit(-p).alias("p"), F.lit(label).alias("l")) for label, r, p, k in every if k == keyword]
             table = F.array(*own)
             found = F.flatten(F.array_compact(F.transform(table, lambda x: places(text, x["r"], [x["p"].alias("minus_p"), x["l"].alias("label")]))))
-            groups.append(F.when(F.contains(text, F.lit(keyword)), found))
+            groups.append(F.when(F.contains(text, F.lit(f" {keyword}")), found))
         return resolved(F.sort_array(F.flatten(F.array_compact(F.array(*groups)))))
 
     def of_text(lower: Column) -> Column:

@@ -368,6 +368,54 @@ def test_rules_are_many_and_valid():
     assert len(every) >= 200 and all(re.compile(license_scan.framed(r)) for _, r, _, _ in every)
 
 
+def settled(found):
+    """What stays of (start, end, priority, label), one by one."""
+    outer = [d for i, d in enumerate(found) if not any(j != i and o[0] <= d[0] and d[1] <= o[1] and (o[:2] != d[:2] or (-o[2], o[3]) < (-d[2], d[3])) for j, o in enumerate(found))]
+    kept = []
+    for d in sorted(outer, key=lambda d: (-d[2], d[0])):
+        if not any(k[0] < d[1] and d[0] < k[1] for k in kept):
+            kept.append(d)
+    return sorted(kept)
+
+
+def test_detections_are_resolved_by_priority_and_containment(spark):
+    r = random.Random(6)
+    chain = [(0, 4, 10, "a"), (3, 8, 20, "b"), (7, 12, 30, "c")]  # c suppresses b, and a stays
+    made = [chain, []]
+    for _ in range(60):
+        starts = [(s, s + r.randrange(1, 9), r.randrange(1, 5), f"l{i}") for i, s in enumerate(r.choices(range(40), k=r.randrange(12)))]
+        made.append(list({d[:3]: d for d in starts}.values()))
+    rows = [(i, [(s, -e, -p, label) for s, e, p, label in x]) for i, x in enumerate(made)]
+    df = spark.createDataFrame(rows, "i int, x array<struct<s:int,minus_e:int,minus_p:int,label:string>>")
+    got = {x.i: sorted((d.s, -d.minus_e, -d.minus_p, d.label) for d in x.y) for x in df.select("i", license_scan.resolved(F.sort_array("x")).alias("y")).collect()}
+    assert got == {i: settled(x) for i, x in enumerate(made)}
+    assert [d[3] for d in got[0]] == ["a", "c"]
+
+
+def detections_of(text):
+    """All matches of all rules in a text, without keywords or gates."""
+    words = re.findall(license_scan.WORD, "".join(c.lower() if c < "\x80" else c for c in text or ""))
+    framed = f" {' '.join(words)} "
+    found = {}
+    for label, rule, priority, _ in license_scan.rules():
+        for m in re.finditer(license_scan.framed(rule), framed):
+            s = framed[: m.start()].count(" ") - 1
+            found.setdefault((s, s + len(m[0].split()), priority, label))
+    return list(found)
+
+
+def test_labels_against_all_rules_without_gates(spark, rows):
+    hinted = re.compile("licen|gpl|cc|creative|public|permission|redistribution|rights|spdx|ware", re.I)
+    got = by_id(queries.op6_license_scan(spark, SF))
+    some = [k for k, t in rows.items() if hinted.search(t)]
+    assert len(some) > 5
+    for k, t in rows.items():
+        found = settled(detections_of(t)) if k in some else []
+        base = base_of(t)
+        assert got[k].labels == ",".join(sorted({d[3] for d in found} | set(filter(None, base[4].split(",")))))
+        assert got[k].score == max([d[2] for d in found] + [40 if base[1] else 0]) / 100
+
+
 # 7: token counts
 
 PARTS = ["a", "the", " ", "  ", "\n", "\t", ".", "é", "中", "😀", "▁", "\x00", "<s>", "\r\n", "   word"]
