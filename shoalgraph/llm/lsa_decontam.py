@@ -2,7 +2,8 @@
 
 Texts become lower-case words. Passages are pairs of neighbouring blocks of as many words as the longest benchmark
 item, so any place where an item can stand lies within one passage. Terms are the words of the benchmark;
-other words can't add to a similarity. Three scans of all documents, none of which moves texts:
+other words can't add to a similarity. All documents are read once to note where which terms stand (a table of a
+fraction of their size, written to the shared folder), and that table is scanned three times:
 
 1. document frequencies of the terms over all blocks;
 2. a single-pass randomised SVD of the TF-IDF matrix of all blocks and items: every task multiplies its rows
@@ -18,7 +19,8 @@ word for word is one, found from the item's rarest word. And an item that leaks
 are frequent, so that stop words hold more of its weight than ``TRUSTED`` allows, is not left to the cosine: each passage that
 holds 0.6 of its words is a candidate, which misses no leak, as a leak has that share in common with its passage.
 
-The benchmark is taken in blocks of ``ITEMS`` items, so that what is broadcast stays bounded.
+The benchmark is taken in blocks of about ``ITEMS`` different texts or ``CHARS`` characters, so that what is broadcast stays
+bounded; items of equal text are one until the end.
 """
 
 from __future__ import annotations
@@ -32,24 +34,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalgraph.llm.blocks import LOWER, PUNCTUATION, Prefix, chunks, words
-from shoalgraph.llm.runtime import prepare, text_or_empty
+from shoalgraph.llm.runtime import cut, prepare, text_or_empty
 
-ITEMS, RANK, OVER, SEED = 1024, 192, 16, 7
+ITEMS, CHARS, RANK, OVER, SEED = 1024, 1 << 19, 192, 16, 7
 #: Terms in more than this share of the blocks are stop words.
 MAX_DF = 0.05
 #: Items of which terms that aren't stop words hold less than this share of the weight are searched by their words.
 TRUSTED = 0.8
 #: Share of an item's words that any leak has.
 LEAST = 0.6
-#: Slots of the filter for words that can't be terms.
-FILTER = 1 << 18
+#: Slots of the filter for words that can't be terms, and words of texts that are taken at once.
+FILTER, AT_ONCE = 1 << 18, 1 << 20
 
 
 @dataclass
 class Model:
-    ids: list
-    items: list[np.ndarray]  # word hashes
-    vocab: np.ndarray
+    keys: list  # of the items' texts
+    items: list[np.ndarray]  # numbers of their words
+    vocab: np.ndarray  # hashes of the terms, sorted
     stride: int
     cosine: float
     lcs: float
@@ -63,34 +65,26 @@ class Model:
     times: np.ndarray = field(default=None)  # how often each hot item holds each of their terms
 
     def __post_init__(self):
-        self.look_for(self.vocab)
-
-    def look_for(self, terms: np.ndarray) -> None:
-        """Words that share no low bits with one of the terms are skipped unseen."""
         self.filter = np.zeros(FILTER, bool)
-        self.filter[terms & np.uint64(FILTER - 1)] = True
+        self.filter[self.vocab & np.uint64(FILTER - 1)] = True
 
     def search(self, df: np.ndarray, total: int) -> None:
         """Weights of the terms, and what finds leaks that the cosine can't see."""
         smooth = np.log((1 + total) / (1 + df)) + 1
         self.idf = np.where(df / total > max(MAX_DF, 2 / total), 0.0, smooth)
-        places = [np.searchsorted(self.vocab, x) for x in self.items]
-        for i, x in enumerate(places):
+        for i, x in enumerate(self.items):
             at = int(np.argmin(df[x]))
             self.anchors.setdefault(int(x[at]), []).append((i, at))
-        kept = [(smooth[t] ** 2)[self.idf[t] > 0].sum() / (smooth[t] ** 2).sum() for t in map(np.unique, places)]
+        kept = [(smooth[t] ** 2)[self.idf[t] > 0].sum() / (smooth[t] ** 2).sum() for t in map(np.unique, self.items)]
         self.hot = np.flatnonzero(np.array(kept) < TRUSTED)
-        terms = np.unique(np.concatenate([places[i] for i in self.hot])) if len(self.hot) else np.zeros(0, np.int64)
+        terms = np.unique(np.concatenate([self.items[i] for i in self.hot])) if len(self.hot) else np.zeros(0, np.int64)
         self.columns = np.full(len(self.vocab), -1)
         self.columns[terms] = np.arange(len(terms))
         self.times = np.zeros((len(terms), len(self.hot)), np.float32)
         for j, i in enumerate(self.hot):
-            np.add.at(self.times[:, j], self.columns[places[i]], 1)
+            np.add.at(self.times[:, j], self.columns[self.items[i]], 1)
         if not self.idf.any():
             self.idf[:] = 1
-        seen = (self.idf > 0) | (self.columns >= 0)
-        seen[list(self.anchors)] = True
-        self.look_for(self.vocab[seen])
 
     def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are terms, and their numbers."""
@@ -101,38 +95,97 @@ class Model:
         return at[ok], k[ok]
 
 
+@dataclass
+class Found:
+    """Terms in some texts: how many words lie before each text (and in all), places and numbers of the terms."""
+
+    before: np.ndarray
+    at: np.ndarray
+    term: np.ndarray
+
+    def blocked(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(block, term, how often) once for each pair, and the first block of every text (and the end)."""
+        first = np.append(0, np.cumsum(np.maximum(1, -(-np.diff(self.before) // model.stride))))
+        text = np.searchsorted(self.before, self.at, side="right") - 1
+        block = first[text] + (self.at - self.before[text]) // model.stride
+        size = max(1, len(model.vocab))
+        pair, times = np.unique(block * size + self.term, return_counts=True)
+        return pair // size, pair % size, times, first
+
+    def sequence(self) -> np.ndarray:
+        """Every word's number, -1 for words that aren't terms."""
+        out = np.full(int(self.before[-1]), -1, np.int32)
+        out[self.at] = self.term
+        return out
+
+
 def hashed(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     buf = LOWER[buf]
     start, end, before = words(buf, offsets, PUNCTUATION)
     return Prefix(buf).spans(start, end), before
 
 
-def blocked(model: Model, h: np.ndarray, before: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(block, term) pairs once each, the first block of every text (and the end)."""
-    n = np.diff(before)
-    first = np.append(0, np.cumsum(np.maximum(1, -(-n // model.stride))))
-    at, term = model.terms(h) if found is None else found
-    text = np.searchsorted(before, at, side="right") - 1
-    block = first[text] + (at - before[text]) // model.stride
-    pair = np.unique(block * len(model.vocab) + term)
-    return pair // max(1, len(model.vocab)), pair % max(1, len(model.vocab)), first, n
+def of_texts(batch: pa.RecordBatch, column: int, model: Model) -> Iterator[tuple[int, Found]]:
+    """The terms of a batch's texts, a few texts at a time, with the row of the first."""
+    for lo, _, buf, offsets in chunks(batch.column(column)):
+        h, before = hashed(buf, offsets)
+        yield lo, Found(before, *model.terms(h))
+
+
+def noted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, text -> doc_id, n (words), terms: places from the text's first word and numbers of its terms."""
+    for batch in batches:
+        n, out = np.zeros(batch.num_rows, np.int64), []
+        for lo, found in of_texts(batch, 1, model):
+            count = len(found.before) - 1
+            n[lo : lo + count] = np.diff(found.before)
+            edge = np.searchsorted(found.at, found.before)
+            place = found.at - np.repeat(found.before[:-1], np.diff(edge))
+            both = np.stack([place, found.term], axis=1).astype("<i4")
+            out += [both[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(out, pa.binary())], ["doc_id", "n", "terms"])
+
+
+def of_notes(batch: pa.RecordBatch) -> Iterator[tuple[int, Found]]:
+    """As of_texts(), from columns doc_id, n, terms."""
+    n = batch.column(1).to_numpy()
+    offsets = np.append(0, np.cumsum(n))
+    notes = batch.column(2).cast(pa.large_binary())
+    if not len(n):
+        return
+    edge = np.frombuffer(notes.buffers()[1], np.int64)[notes.offset : notes.offset + len(n) + 1] // 8
+    data = notes.buffers()[2]
+    both = np.frombuffer(data, "<i4")[: 2 * edge[-1]].reshape(-1, 2) if edge[-1] else np.zeros((0, 2), np.int32)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + AT_ONCE, side="right")) - 1)
+        own = both[edge[lo] : edge[hi]].astype(np.int64)
+        before = offsets[lo : hi + 1] - offsets[lo]
+        yield lo, Found(before, own[:, 0] + np.repeat(before[:-1], np.diff(edge[lo : hi + 1])), own[:, 1])
+        lo = hi
 
 
 def frequencies(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     df, total = np.zeros(len(model.vocab), np.int64), 0
     for batch in batches:
-        for _, _, buf, offsets in chunks(batch.column(0)):
-            _, term, first, _ = blocked(model, *hashed(buf, offsets))
+        for _, found in of_notes(batch):
+            _, term, _, first = found.blocked(model)
             df += np.bincount(term, minlength=len(df))
             total += int(first[-1])
     seen = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int32()), pa.array(np.append(df[seen], total))], ["term", "n"])
 
 
+def weighted(model: Model, block: np.ndarray, term: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, term, TF-IDF weight) of the terms that have a weight; a term's frequency counts by its logarithm."""
+    keep = model.idf[term] > 0
+    return block[keep], term[keep], ((1 + np.log(times[keep])) * model.idf[term[keep]]).astype(np.float32)
+
+
 def normed(rows: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     """Weights of sparse entries after each row is given length one."""
     length = np.sqrt(np.bincount(rows, weights=weights**2, minlength=n))
-    return weights / np.maximum(length[rows], 1e-12)
+    return (weights / np.maximum(length[rows], 1e-12)).astype(np.float32)
 
 
 def summed_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -148,12 +201,10 @@ def omega(n: int, width: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((n, width), dtype=np.float32)
 
 
-def sketch(block: np.ndarray, term: np.ndarray, n: int, idf: np.ndarray, om: np.ndarray, into: np.ndarray) -> None:
-    """Adds A' (A omega) of some rows of A."""
-    keep = idf[term] > 0
-    block, term = block[keep], term[keep]
+def sketch(block: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, om: np.ndarray, into: np.ndarray) -> None:
+    """Adds A' (A omega) of some rows of A, given as weights that are normed here."""
     step = 1 << 15
-    w = normed(block, idf[term], n).astype(np.float32)
+    w = normed(block, weight, n)
     lo = 0
     while lo < len(block):
         hi = min(len(block), lo + step)
@@ -170,9 +221,9 @@ def sketch(block: np.ndarray, term: np.ndarray, n: int, idf: np.ndarray, om: np.
 def sketches(batches: Iterator[pa.RecordBatch], model: Model, width: int) -> Iterator[pa.RecordBatch]:
     om, out = omega(len(model.vocab), width), np.zeros((len(model.vocab), width), np.float32)
     for batch in batches:
-        for _, _, buf, offsets in chunks(batch.column(0), 1 << 22):
-            block, term, first, _ = blocked(model, *hashed(buf, offsets))
-            sketch(block, term, int(first[-1]), model.idf, om, out)
+        for _, found in of_notes(batch):
+            *pairs, first = found.blocked(model)
+            sketch(*weighted(model, *pairs), int(first[-1]), om, out)
     seen = np.flatnonzero(out.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([x.tobytes() for x in out[seen]], pa.binary())], ["term", "row"])
 
@@ -225,12 +276,13 @@ def alike(item: np.ndarray, masks: dict[int, int], answer: dict[int, int], passa
     return 0.0, 0
 
 
-def verbatim(model: Model, h: np.ndarray, before: np.ndarray, at: np.ndarray, term: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def verbatim(model: Model, found: Found, sequence: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Passages and the items that stand in them word for word, wherever the text holds them."""
+    before = found.before
     anchored = np.zeros(len(model.vocab), bool)
     anchored[list(model.anchors)] = True
-    own = anchored[term]
-    at, term = at[own], term[own]
+    own = anchored[found.term]
+    at, term = found.at[own], found.term[own]
     order = np.argsort(term, kind="stable")
     at, term = at[order], term[order]
     text = np.searchsorted(before, at, side="right") - 1
@@ -245,7 +297,7 @@ def verbatim(model: Model, h: np.ndarray, before: np.ndarray, at: np.ndarray, te
             for j, word in enumerate(item):
                 if not len(start):
                     break
-                ok = h[start + j] == word
+                ok = sequence[start + j] == word
                 start, of = start[ok], of[ok]
             passages.append(first[of] + (start - before[of]) // model.stride)
             items.append(np.full(len(start), k))
@@ -274,133 +326,154 @@ def worded(model: Model, block: np.ndarray, term: np.ndarray, tail: np.ndarray)
     return np.concatenate(passages), np.concatenate(items)
 
 
-def leaks(batches: Iterator[pa.RecordBatch], model: Model, column: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, float, float, int]]]]:
-    """Each batch with its (row, item, cosine, share, first word) of leaks, the best for each row and item."""
-    masks = [masks_of(x) for x in model.items]
-    answers = [masks_of(x[len(x) - max(4, len(x) // 3) :]) if len(x) >= 8 else {} for x in model.items]
+@dataclass
+class Search:
+    """What a task needs besides the model, made once."""
+
+    model: Model
+
+    def __post_init__(self):
+        self.masks = [masks_of(x) for x in self.model.items]
+        self.answers = [masks_of(x[len(x) - max(4, len(x) // 3) :]) if len(x) >= 8 else {} for x in self.model.items]
+
+    def leaks(self, found: Found) -> dict[tuple[int, int], tuple[float, float, int]]:
+        """(text, item): (share, cosine, first word) of the best place of every leak."""
+        model, best = self.model, {}
+        block, term, times, first = found.blocked(model)
+        tail = np.zeros(int(first[-1]), bool)
+        tail[first[1:] - 1] = True
+        sequence = found.sequence()
+        exact = [verbatim(model, found, sequence, first), worded(model, block, term, tail)]
+        sure = np.unique(np.concatenate([b * len(model.items) + k for b, k in exact]))
+        block, term, weight = weighted(model, block, term, times)
+        if not len(block) and not len(sure):
+            return best
+        x = summed_rows(block, (weight / model.idf[term])[:, None].astype(np.float32) * model.basis[term], int(first[-1]))
+        pair = x.copy()
+        pair[:-1][~tail[:-1]] += x[1:][~tail[:-1]]
+        length = np.sqrt((pair**2).sum(axis=1))
+        full = np.flatnonzero((length > 1e-6) | np.isin(np.arange(len(tail)), sure // len(model.items)))
+        for a in range(0, len(full), 4096):
+            own = full[a : a + 4096]
+            cos = pair[own] @ model.queries.T / np.maximum(length[own], 1e-6)[:, None]
+            chosen = cos >= model.cosine
+            mine = sure[np.isin(sure // len(model.items), own)]
+            chosen[np.searchsorted(own, mine // len(model.items)), mine % len(model.items)] = True
+            for i, k in zip(*np.nonzero(chosen), strict=True):
+                b = int(own[i])
+                text = int(np.searchsorted(first, b, side="right")) - 1
+                start = int(found.before[text]) + (b - int(first[text])) * model.stride
+                passage = sequence[start : min(int(found.before[text + 1]), start + 2 * model.stride)].tolist()
+                share, where = alike(model.items[k], self.masks[k], self.answers[k], passage, model.lcs)
+                if share > best.get((text, int(k)), (0.0,))[0]:
+                    best[text, int(k)] = (share, float(cos[i, k]), start - int(found.before[text]) + where)
+        return best
+
+
+def reported(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, n, terms -> the leaks of every document."""
+    search = Search(model)
     for batch in batches:
-        best: dict[tuple[int, int], tuple[float, float, int]] = {}
-        for lo, _, buf, offsets in chunks(batch.column(column)):
-            h, before = hashed(buf, offsets)
-            found = model.terms(h)
-            block, term, first, _ = blocked(model, h, before, found)
-            tail = np.zeros(int(first[-1]), bool)
-            tail[first[1:] - 1] = True
-            exact = [verbatim(model, h, before, *found, first), worded(model, block, term, tail)]
-            sure = np.unique(np.concatenate([b * len(model.items) + k for b, k in exact]))
-            keep = model.idf[term] > 0
-            block, term = block[keep], term[keep]
-            if not len(block) and not len(sure):
-                continue
-            x = summed_rows(block, model.basis[term], int(first[-1]))
-            pair = x.copy()
-            pair[:-1][~tail[:-1]] += x[1:][~tail[:-1]]
-            length = np.sqrt((pair**2).sum(axis=1))
-            full = np.flatnonzero((length > 1e-6) | np.isin(np.arange(len(tail)), sure // len(model.items)))
-            for a in range(0, len(full), 4096):
-                own = full[a : a + 4096]
-                cos = pair[own] @ model.queries.T / np.maximum(length[own], 1e-6)[:, None]
-                chosen = cos >= model.cosine
-                mine = sure[np.isin(sure // len(model.items), own)]
-                chosen[np.searchsorted(own, mine // len(model.items)), mine % len(model.items)] = True
-                for i, k in zip(*np.nonzero(chosen), strict=True):
-                    b = int(own[i])
-                    text = int(np.searchsorted(first, b, side="right")) - 1
-                    start = int(before[text]) + (b - int(first[text])) * model.stride
-                    passage = h[start : min(int(before[text + 1]), start + 2 * model.stride)].tolist()
-                    share, where = alike(model.items[k], masks[k], answers[k], passage, model.lcs)
-                    if share > best.get((lo + text, int(k)), (0.0,))[0]:
-                        best[lo + text, int(k)] = (share, float(cos[i, k]), start - int(before[text]) + where)
-        yield batch, [(r, k, c, s, w) for (r, k), (s, c, w) in sorted(best.items())]
-
-
-def models(texts: DataFrame, benchmark: DataFrame, cosine: float, lcs: float) -> Iterator[Model]:
-    """A fitted model for each block of benchmark items; texts: the column text."""
-    spark = texts.sparkSession
-    numbered = benchmark.select("item_id", text_or_empty("text").alias("text")).where(F.length("text") > 0)
-    parts = max(1, -(-numbered.count() // ITEMS))
+        rows: list[tuple] = []
+        for lo, found in of_notes(batch):
+            rows += [(lo + text, model.keys[k], cos, share, at) for (text, k), (share, cos, at) in sorted(search.leaks(found).items())]
+        r, key, cos, share, at = zip(*rows, strict=True) if rows else ((),) * 5
+        columns = [pa.array(key, pa.binary()), pa.array(cos, pa.float64()), pa.array(share, pa.float64()), pa.array(at, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r, pa.int64())), *columns], ["doc_id", "key", "cosine", "lcs_share", "first_word"])
+
+
+def cleaned(batches: Iterator[pa.RecordBatch], model: Model, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows into whose text (the given column) nothing leaks."""
+    search = Search(model)
+    for batch in batches:
+        keep = np.ones(batch.num_rows, bool)
+        for lo, found in of_texts(batch, column, model):
+            keep[[lo + text for text, _ in search.leaks(found)]] = False
+        yield batch.filter(pa.array(keep))
+
+
+def keyed(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, key) of the items that have a text."""
+    text = text_or_empty("text")
+    return benchmark.select("item_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key")).where(F.length("text") > 0)
+
+
+def models(rows: DataFrame, items: DataFrame, cosine: float, lcs: float) -> Iterator[tuple[Model, DataFrame]]:
+    """A fitted model for each block of benchmark texts, and the noted terms of all documents; rows: (doc_id, text)."""
+    spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
+    texts = items.select("key", "text").distinct()
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    parts = max(1, -(-size["n"] // ITEMS), -(-(size["chars"] or 0) // CHARS))
     for part in range(parts):
-        own = numbered if parts == 1 else numbered.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        rows = own.orderBy("item_id", "text").collect()
-        col = pa.array([r["text"] for r in rows], pa.string())
-        ids, items = [], []
-        for lo, hi, buf, offsets in chunks(col):
+        own = texts if parts == 1 else texts.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part)
+        taken = own.orderBy("key").collect()
+        keys, hashes = [], []
+        for lo, hi, buf, offsets in chunks(pa.array([r["text"] for r in taken], pa.string())):
             h, before = hashed(buf, offsets)
             for i in range(hi - lo):
                 if before[i + 1] > before[i]:
-                    ids.append(rows[lo + i]["item_id"])
-                    items.append(h[before[i] : before[i + 1]])
-        if not items:
+                    keys.append(bytes(taken[lo + i]["key"]))
+                    hashes.append(h[before[i] : before[i + 1]])
+        if not hashes:
             continue
-        model = Model(ids, items, np.unique(np.concatenate(items)), max(32, max(map(len, items))), cosine, lcs)
+        vocab = np.unique(np.concatenate(hashes))
+        model = Model(keys, [np.searchsorted(vocab, x) for x in hashes], vocab, max(32, max(map(len, hashes))), cosine, lcs)
         shared = spark.sparkContext.broadcast(model)
-        counts = texts.mapInArrow(lambda it, s=shared: frequencies(it, s.value), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        notes = cut(rows.mapInArrow(lambda it, s=shared: noted(it, s.value), f"doc_id {kind}, n long, terms binary"))
+        counts = notes.mapInArrow(lambda it, s=shared: frequencies(it, s.value), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
         df = {r["term"]: r["n"] for r in counts.collect()}
         total = max(1, df.pop(-1, 0))
-        model.search(np.array([df.get(k, 0) for k in range(len(model.vocab))], float), total)
-        width = min(len(model.vocab), RANK + OVER)
+        model.search(np.array([df.get(k, 0) for k in range(len(vocab))], float), total)
+        width = min(len(vocab), RANK + OVER)
         shared = spark.sparkContext.broadcast(model)
-        rows_of = texts.mapInArrow(lambda it, s=shared, w=width: sketches(it, s.value, w), "term int, row binary")
-        y = np.zeros((len(model.vocab), width))
+        rows_of = notes.mapInArrow(lambda it, s=shared, w=width: sketches(it, s.value, w), "term int, row binary")
+        y = np.zeros((len(vocab), width))
         for r in rows_of.repartition("term").mapInArrow(added, "term int, row binary").collect():
             y[r["term"]] = np.frombuffer(r["row"], np.float32)
-        item_of = np.concatenate([np.full(len(np.unique(x)), i) for i, x in enumerate(items)])
-        term_of = np.concatenate([np.searchsorted(model.vocab, np.unique(x)) for x in items])
+        own = [(np.full(len(t), i), t, c) for i, (t, c) in enumerate(np.unique(x, return_counts=True) for x in model.items)]
+        item, term, weight = weighted(model, *map(np.concatenate, zip(*own, strict=True)))
         own_y = np.zeros(y.shape, np.float32)
-        om = omega(len(model.vocab), width)
-        sketch(item_of, term_of, len(items), model.idf, om, own_y)
+        om = omega(len(vocab), width)
+        sketch(item, term, weight, len(keys), om, own_y)
         y += own_y * max(1.0, np.linalg.norm(y) / max(1e-9, np.linalg.norm(own_y)))  # items weigh as much as the corpus
         core = om.astype(np.float64).T @ y
         values, vectors = np.linalg.eigh((core + core.T) / 2)
         ok = values > 1e-6 * values.max()
         u, _, _ = np.linalg.svd(y @ (vectors[:, ok] / np.sqrt(values[ok])), full_matrices=False)
         model.basis = (model.idf[:, None] * u[:, :RANK]).astype(np.float32)
-        q = summed_rows(item_of, model.basis[term_of], len(items))
+        q = summed_rows(item, (weight / model.idf[term])[:, None].astype(np.float32) * model.basis[term], len(keys))
         model.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-        yield model
+        yield model, notes
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, lcs: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs_share and first_word of every document and item that leaks into it.
 
     Null and empty texts, of documents or items, leak nothing. Ids may be null or repeat: every row is searched by
-    itself. An empty table gives no rows; other columns don't matter.
+    itself, and items of equal text are all reported. An empty table gives no rows; other columns don't matter.
     """
     spark = prepare(docs.sparkSession)
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, cosine double, lcs_share double, first_word long"
-
-    def found(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-        for batch, hits in leaks(batches, model, 1):
-            r, k, c, s, w = zip(*hits, strict=True) if hits else ((),) * 5
-            ids = pa.array([model.ids[i] for i in k], item_arrow)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r, pa.int64())), ids, pa.array(c, pa.float64()), pa.array(s, pa.float64()), pa.array(w, pa.int64())], ["doc_id", "item_id", "cosine", "lcs_share", "first_word"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    item_arrow = to_arrow_type(item_kind)
-    out = None
-    for model in models(rows.select("text"), benchmark, cosine, lcs):
+    items = keyed(benchmark)
+    schema = f"doc_id {kind}, key binary, cosine double, lcs_share double, first_word long"
+    out = spark.createDataFrame([], schema)
+    for model, notes in models(rows, items, cosine, lcs):
         shared = spark.sparkContext.broadcast(model)
-        part = rows.mapInArrow(lambda it, s=shared: found(it, s.value), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+        out = out.unionByName(notes.mapInArrow(lambda it, s=shared: reported(it, s.value), schema))
+    return out.join(items.select("key", "item_id"), "key").select("doc_id", "item_id", "cosine", "lcs_share", "first_word")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, lcs: float = 0.75, text_col: str = "text") -> DataFrame:
-    """The documents without those into which a benchmark item leaks; all columns stay."""
+    """The documents without those into which a benchmark item leaks; all columns, of any name, stay.
+
+    Rows with a null or empty text stay, repeated rows all stay or all go, and an empty table gives no rows. The documents are
+    read twice: once to note their terms, once to leave out those that hold an item.
+    """
     spark = prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
-
-    def clean(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-        for batch, hits in leaks(batches, model, at):
-            keep = np.ones(batch.num_rows, bool)
-            keep[[h[0] for h in hits]] = False
-            yield batch.filter(pa.array(keep))
-
-    texts = docs.select(text_or_empty(text_col).alias("text"))
-    for model in list(models(texts, benchmark, cosine, lcs)):
+    rows = docs.select(F.lit(0).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    for model, _ in models(rows, keyed(benchmark), cosine, lcs):
         shared = spark.sparkContext.broadcast(model)
-        docs = docs.mapInArrow(lambda it, s=shared: clean(it, s.value), docs.schema)
+        docs = docs.mapInArrow(lambda it, s=shared: cleaned(it, s.value, at), docs.schema)
     return docs
