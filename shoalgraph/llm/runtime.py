@@ -9,6 +9,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoalgraph.session import shared_folder
+
 _shipped: set[str] = set()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -16,14 +18,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def prepare(spark: SparkSession) -> SparkSession:
     """Makes the package importable on executors and sees to a checkpoint folder.
 
-    The folder named in ``spark.checkpoint.dir`` is used as it is; only where none is set (tests, a
-    local session) a temporary one takes its place.
+    The folder named in ``spark.checkpoint.dir`` is used as it is. Where none is set, a local session (tests) gets a temporary
+    one; on a cluster that would be a folder of the driver alone, so there it is an error.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            named = spark.conf.get("spark.checkpoint.dir", None)
-            sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shoalgraph-checkpoint-"))
+        shared_folder(spark)
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         target = os.path.join(tempfile.mkdtemp(prefix="shoalgraph-code-"), "shoalgraph_code.zip")
         with zipfile.ZipFile(target, "w") as z:

@@ -688,18 +688,74 @@ def test_odd_rows(odd, none, name):
     assert cases()[name](none).collect() == []
 
 
+SAME = "same text here " * 20
+NO_TEXT = hashlib.sha256(b"").hexdigest()
+
+
+def values(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
+
+
+def test_values_of_odd_rows(spark, odd):
+    """Null, empty, blank, tied, repeated and very long texts, and null ids, one operator after the other."""
+    long, ids = odd.where("doc_id = 6").first().text, [1, 2, 3, 4, 5, 5, 6, None, None]
+    texts = ["", "", " \n ", SAME, SAME, SAME, long, "one two three", ""]
+    expect = lambda *columns: sorted(zip(ids, *columns, strict=True), key=repr)
+    lines = values(line_dedup.dedup_lines(odd, report=True), "doc_id", "n_lines", "n_removed", "text")
+    assert lines == expect([0, 0, 0, 1, 1, 1, 1, 1, 0], [0, 0, 0, 0, 1, 1, 0, 0, 0], [*texts[:4], "", "", *texts[6:]])
+    near = values(bagminhash.near_duplicates(odd), "doc_id", "class_id", "n_shingles", "kept")
+    assert near == expect([1, 1, 3, 4, 4, 4, 6, None, 1], [0, 0, 0, 56, 56, 56, 19_996, 1, 0], [True, False, True, True, False, False, True, False, False])
+    shards = values(sharding.shard_by_bytes(odd), "doc_id", "size", "text_crc32")
+    assert shards == expect([len(t) + 8 for t in texts], [zlib.crc32(t.encode()) for t in texts])
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = values(packing.pack(odd).where("start = 0"), "doc_id", "doc_tokens")
+    assert packed == expect([len(tokenizer.encode(t).ids) + 1 for t in texts])
+    scan = values(license_scan.license_report(odd), "doc_id", "n_words", "n_base", "first_word", "base_labels", "labels", "score")
+    assert scan == expect([0, 0, 0, 60, 60, 60, 20_000, 3, 0], [0] * 9, [None] * 9, [""] * 9, [""] * 9, [0.0] * 9)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    tokens = values(token_counts.token_counts(odd), "doc_id", "n_bytes", "n_tokens")
+    assert tokens == expect([len(t) for t in texts], [len(x) for x in sp.encode(texts)])
+    whole, (_, gone, spans, kept) = shorn([(4, SAME), (5, SAME)]), shorn([(4, SAME), (5, SAME)])[5]
+    rest = [NO_TEXT, NO_TEXT, hashlib.sha256(b" \n ").hexdigest(), whole[4][3], kept, kept, hashlib.sha256(long.encode()).hexdigest(), hashlib.sha256(b"one two three").hexdigest(), NO_TEXT]
+    repeats = values(repeated_spans.remove_repeats(odd), "doc_id", "n_removed", "n_spans", "kept_sha256")
+    assert repeats == expect([0, 0, 0, 0, gone, gone, 0, 0, 0], [0, 0, 0, 0, spans, spans, 0, 0, 0], rest)
+    rules = values(quality_rules.quality_report(odd), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert all((r[0], *r[1:7]) == (r[0], *counted(t)) and not (r[6] and r[7]) for r, (_, t) in zip(rules, sorted(zip(ids, texts, strict=True), key=lambda x: repr((x[0], *counted(x[1])))), strict=True))
+
+
 def test_odd_rows_of_tables(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert {r.doc_id for r in lsa_decontam.contamination(odd, bench).collect()} == {None}
     assert lsa_decontam.contamination(none, bench).isEmpty()
-    for keep in (quality_rules.keep_good, line_dedup.dedup_lines, bagminhash.drop_near_duplicates, lambda d: lsa_decontam.drop_contaminated(d, bench)):
-        assert keep(odd).columns == odd.columns and keep(none).isEmpty()
-    same = bagminhash.drop_near_duplicates(odd).where("text like 'same%'").collect()
-    assert [r.doc_id for r in same] == [4]
+    kept = {}
+    stages = {"good": quality_rules.keep_good, "lines": line_dedup.dedup_lines, "near": bagminhash.drop_near_duplicates, "clean": lambda d: lsa_decontam.drop_contaminated(d, bench)}
+    for name, keep in stages.items():
+        assert keep(odd).columns == odd.columns and keep(none).columns == odd.columns and keep(none).isEmpty()
+        kept[name] = keep(odd).collect()
+        assert all(list(r)[3:] == list(range(len(odd.columns) - 3)) for r in kept[name])  # columns of clashing names keep their values
+    none_first = lambda name: sorted(((r.doc_id, r.key) for r in kept[name]), key=repr)
+    assert none_first("near") == [(1, "k"), (3, "k"), (4, "a"), (6, "z"), (None, "k")]
+    assert len(kept["lines"]) == 9 and sorted(r.text or "" for r in kept["lines"]).count(SAME) == 1
+    assert len(kept["clean"]) == 8 and all(r.text != "one two three" for r in kept["clean"])
+    assert {r.doc_id for r in kept["good"]} <= {4, 5, 6}
     pages = odd.selectExpr("doc_id AS page_id", "key AS url", "text AS html", "text", "1 AS page")
     assert html_extract.extract_main_text(pages).count() == 9 and html_extract.extract_main_text(pages.limit(0)).isEmpty()
 
 
+def test_pipeline_on_odd_rows_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs.columns
+            docs = stage(spark, docs, SF)
+            assert name == "packing" or docs.columns == before
+            docs.collect()
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
