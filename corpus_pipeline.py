@@ -56,11 +56,19 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each is written as Parquet into the shared checkpoint folder and read again."""
+    """All stages over the documents table; each is written as Parquet into the shared checkpoint folder and read again.
+
+    Null and empty texts are base_failed and go in the first stage, repeated rows in the third; an empty table gives no rows. A
+    stage's table is deleted once the next one is written.
+    """
     prepare(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{last}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        last = name
     return docs
