@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalgraph.llm.blocks import Prefix, chunks, mixed, replicas, shingles, words
-from shoalgraph.llm.runtime import cut, prepare, text_or_empty, unused
+from shoalgraph.llm.runtime import cut, join_by_size, prepare, text_or_empty, unused
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
 #: Items (shingles with their repetitions) that a block of a bucket holds.
@@ -225,14 +225,14 @@ def across(crowd: DataFrame, labels: DataFrame, items: DataFrame, least: float)
     """
     left = crowd.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     same = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("key")).alias("x"), F.count("*").alias("c"))
-    same = same.where("lo != hi").groupBy("x", "c").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_ = cut(left.join(same, "bucket", "left_semi").select("bucket", "key", "n", "label"))
+    same = same.where("lo != hi").groupBy("x", "c").agg(F.min("bucket").alias("bucket")).select("bucket", "c")
+    open_ = cut(join_by_size(left, cut(same), "bucket", "c").select("bucket", "key", "n", "label"))
     by_label = open_.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    plan = by_label.groupBy("bucket").agg(F.max(F.struct("c", "label", "w")).alias("m"), F.sum("w").alias("all"))
+    plan = by_label.groupBy("bucket").agg(F.max(F.struct("c", "label", "w")).alias("m"), F.sum("w").alias("all"), F.sum("c").alias("c"))
     blocks = lambda w: F.ceil(w / F.lit(BLOCK)).cast("int")
     whole = F.col("all") <= BLOCK
-    plan = plan.select("bucket", F.col("m.label").alias("major"), F.when(whole, 0).otherwise(blocks(F.col("m.w"))).alias("far"), F.when(whole, 1).otherwise(F.greatest(F.lit(1), blocks(F.col("all") - F.col("m.w")))).alias("near"))
-    told = open_.join(plan, "bucket")
+    plan = plan.select("bucket", "c", F.col("m.label").alias("major"), F.when(whole, 0).otherwise(blocks(F.col("m.w"))).alias("far"), F.when(whole, 1).otherwise(F.greatest(F.lit(1), blocks(F.col("all") - F.col("m.w")))).alias("near"))
+    told = join_by_size(open_, cut(plan), "bucket", "c")
     main = F.col("label") == F.col("major")
     own = F.when(main & (F.col("far") > 0), F.col("near") + F.pmod(F.xxhash64("key"), F.col("far"))).otherwise(F.pmod(F.xxhash64("key"), F.col("near"))).cast("int")
     told = told.select("bucket", "key", "label", main.alias("main"), own.alias("block"), "near", "far")
@@ -266,29 +266,30 @@ def components(links: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("label")).distinct())
 
 
-def classes(docs: DataFrame, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, key, n) of every row, (key, label) of texts in classes of several, and the links between texts."""
+def classes(docs: DataFrame, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n) of every row, and (key, label, copies, first) of every text: its class, its rows, its smallest id."""
     key = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), text_or_empty(text_col).alias("text"))
     marked = cut(rows.mapInArrow(lambda it: signed(it, BANDS, ROWS), f"doc_id {kind}, key binary, n long, bands array<long>"))
-    nodes = marked.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = nodes.select("key", "n", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
-    crowd = cut(members.join(heads, "bucket"))  # texts that share a bucket with another one
-    wanted = rows.select("key", "text").join(crowd.select("key").distinct(), "key", "left_semi")
+    nodes = marked.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    nodes = cut(nodes)
+    members = nodes.where("n > 0").select("key", "first", "n", F.explode("bands").alias("bucket"))
+    heads = members.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("c")).where("c > 1")
+    crowd = cut(join_by_size(members, cut(heads), "bucket", "c"))  # texts that share a bucket with another one
+    one = crowd.select(F.col("key").alias("k"), "first").distinct()  # a row of each text: its copies, however many, are left out where they are
+    wanted = rows.join(one, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("key", "text")
     items = cut(wanted.mapInArrow(sets, "key binary, items binary").groupBy("key").agg(F.first("items").alias("items")))
     stars = crowd.where(F.col("key") != F.col("head")).select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-    links = cut(linked(stars, items, least))
+    links = linked(stars, items, least)
     labels = components(links)
-    more = cut(across(crowd.drop("head"), labels, items, least))
+    more = cut(across(crowd.select("bucket", "key", "n"), labels, items, least))
     if not more.isEmpty():
         joined = components(more, "label_a", "label_b").select(F.col("key").alias("label"), F.col("label").alias("final"))
         moved = labels.join(joined, "label", "left").select("key", F.coalesce("final", "label").alias("label"))
         alone = joined.select(F.col("label").alias("key"), F.col("final").alias("label")).join(labels.select("key"), "key", "left_anti")
-        labels = cut(moved.unionByName(alone))
-        links = links.unionByName(more.select("a", "b", "score"))
-    return marked.drop("bands"), labels, links
+        labels = moved.unionByName(alone)
+    return marked.drop("bands"), cut(nodes.select("key", "copies", "first").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")))
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,14 +298,14 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id",
     class_id is the smallest id in the document's class (texts that links of weighted Jaccard similarity ``least`` or more
     on five-word shingles connect), kept whether the row is the one that stays of its class. Equal texts, null and
     empty ones together, are one class member; texts of fewer than five words are one shingle. Rows with a null id
-    get the class of their text and are kept only if nothing else of the class has an id. Repeated rows are kept
-    once. An empty table gives no rows; other columns don't matter.
+    get the class of their text and are never kept; repeated rows are marked alike. An empty table gives no rows; other
+    columns don't matter.
     """
     prepare(docs.sparkSession)
-    marked, labels, _ = classes(docs, least, id_col, text_col)
-    grouped = marked.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    first = grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    out = grouped.join(first, "label")
+    marked, texts = classes(docs, least, id_col, text_col)
+    first = cut(texts.groupBy("label").agg(F.min("first").alias("class_id"), F.count("*").alias("texts")))
+    of_text = cut(join_by_size(texts.select("key", "copies", "label"), first, "label", "texts").drop("label"))
+    out = join_by_size(marked, of_text, "key", "copies")
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("doc_id").isNotNull()
     return out.select("doc_id", "class_id", F.col("n").alias("n_shingles"), kept.alias("kept"))
 
@@ -317,9 +318,8 @@ def drop_near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc
     are kept as they are.
     """
     prepare(docs.sparkSession)
-    marked, labels, _ = classes(docs, least, id_col, text_col)
-    grouped = marked.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    best = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("key"))).alias("best"))
+    _, texts = classes(docs, least, id_col, text_col)
+    best = texts.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("doc_id"), F.col("key"))).alias("best"))
     own, stay_id, stay_key = unused(docs, "key", "stay_id", "stay_key")
     stays = best.select(F.col("best.doc_id").alias(stay_id), F.col("best.key").alias(stay_key))
     keyed = docs.withColumn(own, F.unhex(F.md5(text_or_empty(text_col).cast("binary"))))

@@ -28,10 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoalgraph.llm.blocks import mixed, powers
-from shoalgraph.llm.runtime import cut, prepare, text_or_empty, unused
+from shoalgraph.llm.runtime import cut, join_by_size, prepare, text_or_empty, unused
 
-#: Documents of a line that is broadcast, at least, and how many such lines there can be.
-HOT, MOST = 100, 10_000
 WHITE = " \t\x0b\x0c\r"
 
 
@@ -183,17 +181,14 @@ def removals(docs: DataFrame, rare_share: float | None, rare_least: int, min_cha
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), full.alias("x"))
     rows = rows.where((F.size("x") > 0) & F.col("doc_id").isNotNull())
     rows = cut(rows.select("doc_id", "key", F.transform("x", lambda s: F.xxhash64(s)).alias("lines"), F.transform("x", F.length).alias("sizes")))
-    firsts = rows.groupBy("key").agg(F.min_by(F.struct("lines", "sizes"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id")).select("doc_id", "key", "x.*")
+    firsts = rows.groupBy("key").agg(F.min_by(F.struct("lines", "sizes"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "key", "copies", "x.*")
     firsts = cut(firsts)
     kind = docs.schema[id_col].dataType.simpleString()
     lines = cut(firsts.select("doc_id", "lines", "sizes").mapInArrow(lambda it: starts(it, min_chars), f"doc_id {kind}, line long"))
     owners = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df")).where(F.col("df") > 1)
     if rare_share is not None:
         owners = owners.where(F.col("df") <= max(rare_least, int(rare_share * firsts.count())))
-    owners = cut(owners)
-    hot = F.col("df") >= max(HOT, (owners.agg(F.sum("df")).first()[0] or 0) // MOST)
-    often = F.broadcast(owners.where(hot).select("line", "owner"))
-    owned = lines.join(often, "line").unionByName(lines.join(F.broadcast(owners.where(hot).select("line")), "line", "left_anti").join(owners.where(~hot).drop("df"), "line"))
+    owned = join_by_size(lines, cut(owners), "line", "df")
     pairs = owned.where(F.col("doc_id") != F.col("owner")).select(F.col("doc_id").alias("later"), "owner").distinct()
     later = firsts.select(F.col("doc_id").alias("later"), "lines", "sizes")
     owner = firsts.select(F.col("doc_id").alias("owner"), F.col("lines").alias("theirs"))
@@ -201,7 +196,8 @@ def removals(docs: DataFrame, rare_share: float | None, rare_least: int, min_cha
     gone = aligned.mapInArrow(lambda it: alignments(it, min_chars), f"later {kind}, gone array<int>")
     gone = gone.select("later", F.explode("gone").alias("k")).groupBy("later").agg(F.collect_set("k").alias("gone"))
     partly = gone.join(firsts.select(F.col("doc_id").alias("later"), "key"), "later").select("key", F.col("later").alias("doc_id"), "gone")
-    whole = rows.select("doc_id", "key").join(firsts.select("key", F.col("doc_id").alias("first")), "key").where(F.col("doc_id") != F.col("first"))
+    several = firsts.where("copies > 1").select("key", F.col("doc_id").alias("first"), "copies")
+    whole = join_by_size(rows.select("doc_id", "key"), several, "key", "copies").where(F.col("doc_id") != F.col("first"))
     whole = whole.select("key", "doc_id", F.array().cast("array<int>").alias("gone")).distinct()
     return partly.unionByName(whole)
 

@@ -54,7 +54,7 @@ class Encoder:
 
 
 #: Parts in which pieces of one length are numbered at once: whole windows (most pieces), and any other length.
-PARTS = 4096, 64
+PARTS = 4096, 16
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shoalgraph.session import shared_folder
 
 _shipped: set[str] = set()
+HOT, MOST = 100, 10_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -51,6 +52,19 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set(CLEANUP, was)
 
 
+def join_by_size(left: DataFrame, right: DataFrame, on: str, size: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for a value of ``on`` and in ``size`` how many rows of left have that value.
+
+    Values of very many rows (at least HOT, and so many that there can be no more than MOST of them) are joined by broadcast, so that
+    none of them lands in one task; the others by shuffle. right is read several times.
+    """
+    total = right.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) >= max(HOT, total // MOST)
+    often = F.broadcast(right.where(hot).drop(size))
+    rest = left.join(F.broadcast(right.where(hot).select(on)), on, "left_anti").join(right.where(~hot).drop(size), on, how)
+    return left.join(often, on).unionByName(rest)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
