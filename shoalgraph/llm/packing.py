@@ -147,6 +147,18 @@ def place_rows(patterns: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[
     return rows
 
 
+def stepped(rows: list[tuple[int, int, int, int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple]]:
+    """(length, step) of each length, and the rows once for each step of ranks that they reach into.
+
+    With as many steps as rows a length has at most twice as many entries, and a rank meets two of them on average.
+    """
+    last, many = {}, {}
+    for size, _, end, *_ in rows:
+        last[size], many[size] = max(end, last.get(size, 0)), many.get(size, 0) + 1
+    step = {size: -(-end // many[size]) for size, end in last.items()}
+    return sorted(step.items()), [(r[0], k, *r[1:]) for r in rows for k in range(r[1] // step[r[0]], (r[2] - 1) // step[r[0]] + 1)]
+
+
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row for each piece of each document, with its sequence and its offset there; with keep_ids its ids too.
 
@@ -158,10 +170,13 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", length: int = 20
     schema = f"doc_id {kind}, {PIECES}" + ", ids array<int>" * keep_ids
     made = cut(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(lambda it: pieces(it, tokenizer, length, end, keep_ids), schema))
     counts = {int(r["length"]): r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows = place_rows(plan(counts, length))
-    table = spark.createDataFrame(rows, "length long, low long, high long, each long, first_sequence long, first_offset long")
-    ranked = numbered(made, ["length"], [F.col("doc_id"), F.col("start")], "rank", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.when(F.col("length") == length, PARTS[0]).otherwise(PARTS[1])))
-    placed = ranked.alias("p").join(F.broadcast(table).alias("t"), (F.col("p.length") == F.col("t.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    steps, rows = stepped(place_rows(plan(counts, length)))
+    table = spark.createDataFrame(rows, "length long, at long, low long, high long, each long, first_sequence long, first_offset long")
+    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.when(F.col("length") == length, PARTS[0]).otherwise(PARTS[1]))
+    ranked = numbered(made, ["length"], [F.col("doc_id"), F.col("start")], "rank", part)
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(steps, "length long, step long")), "length").withColumn("at", F.floor(F.col("rank") / F.col("step")))
+    near = (F.col("p.length") == F.col("t.length")) & (F.col("p.at") == F.col("t.at"))
+    placed = ranked.alias("p").join(F.broadcast(table).alias("t"), near & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     step = F.col("rank") - F.col("low")
     return placed.select(
         "doc_id",
