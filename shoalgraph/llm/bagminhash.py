@@ -34,6 +34,8 @@ SHINGLE, BANDS, ROWS = 5, 20, 5
 BLOCK = 1_000_000
 #: Texts that one text is compared with at a time.
 STEP = 512
+#: Processes below which several of their points are made at once.
+FEW = 4096
 C1, C2 = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -55,19 +57,21 @@ def signatures(keys: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts:
     best, who = np.full(n_texts * m, np.inf), np.zeros(n_texts * m, np.uint64)
     worst = np.full(n_texts, np.inf)
     while len(state):
-        state = mixed(state + C2)
-        time = time - np.log(unit(state)) / size
-        stays = time < worst[of]
-        if not stays.all():
-            state, time, of, limit, size, low = state[stays], time[stays], of[stays], limit[stays], size[stays], low[stays]
-            if not len(state):
-                break
-        draw = mixed(state ^ C1)
-        level = low + size * unit(mixed(draw))
-        ok = level <= limit
-        at = of[ok] * m + (draw[ok] % np.uint64(m)).astype(np.int64)
-        t, s = time[ok], state[ok]
-        order = np.lexsort((t, at))
+        steps = 1 if len(state) > FEW else 16  # points of a process that are made at once
+        made_state, made_time = [], []
+        for _ in range(steps):
+            state = mixed(state + C2)
+            time = time - np.log(unit(state)) / size
+            made_state.append(state)
+            made_time.append(time)
+        s, t = (np.concatenate(x) if steps > 1 else x[0] for x in (made_state, made_time))
+        text_of, top_level = np.tile(of, steps), np.tile(limit, steps)
+        near = t < worst[text_of]
+        draw = mixed(s ^ C1)
+        near &= np.tile(low, steps) + np.tile(size, steps) * unit(mixed(draw)) <= top_level
+        at = text_of[near] * m + (draw[near] % np.uint64(m)).astype(np.int64)
+        t, s = t[near], s[near]
+        order = np.argsort(at << 32 | t.astype(np.float32).view(np.int32))  # by component, then by time (positive floats order as their bits)
         at, t, s = at[order], t[order], s[order]
         first = np.ones(len(at), bool)
         first[1:] = at[1:] != at[:-1]
@@ -75,6 +79,8 @@ def signatures(keys: np.ndarray, text: np.ndarray, weight: np.ndarray, n_texts:
         better = t < best[at]
         best[at[better]], who[at[better]] = t[better], s[better]
         worst = best.reshape(n_texts, m).max(axis=1)
+        stays = time < worst[of]
+        state, time, of, limit, size, low = state[stays], time[stays], of[stays], limit[stays], size[stays], low[stays]
     return who.reshape(n_texts, m)
 
 
