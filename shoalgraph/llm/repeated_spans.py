@@ -37,9 +37,9 @@ GRAM = 20
 LONGEST = 255
 #: Documents in the sample for routing, and in how many of them a minimizer is frequent.
 SAMPLED, FREQUENT = 5000, 25
-FLUSH, SORTED = 4 << 20, 1 << 19
+CHUNK, FLUSH, SORTED = 1 << 19, 4 << 20, 1 << 19
 #: Bytes of text for each bucket, and runs of it that are compared at a time.
-PER_BUCKET, COMPARED = 64 << 20, 500_000
+PER_BUCKET, COMPARED = 64 << 20, 250_000
 OPEN, COVERED, SPREAD = 0, 1, 2
 RUN = np.dtype([("h", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<u4"), ("n", "<u4")])
 
@@ -215,7 +215,7 @@ def dealt(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray,
 
     for batch in batches:
         doc, row = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        for lo, _, buf, offsets in chunks(batch.column(2)):
+        for lo, _, buf, offsets in chunks(batch.column(2), CHUNK):
             h, body, text, at, n = runs(buf, offsets, length)
             x = np.empty(len(h), RUN)
             x["h"], x["body"], x["doc"], x["row"], x["lo"], x["n"] = h, body, doc[lo + text], row[lo + text], at, n
@@ -303,7 +303,7 @@ def opened(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray,
 
     for batch in batches:
         doc, row = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        for first, end, buf, offsets in chunks(batch.column(2)):
+        for first, end, buf, offsets in chunks(batch.column(2), CHUNK):
             lists = [batch.column(k).slice(first, end - first) for k in (3, 4)]
             counts = np.array([len(v) for v in lists[0].to_pylist()], np.int64)
             if not counts.sum():
@@ -440,26 +440,31 @@ def sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
                 yield told(out, None)
 
 
-def shorn(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, places and counts of covered strings -> the digest of what is left, and the text."""
+def shorn(batches: Iterator[pa.RecordBatch], length: int, keep_bytes: bool = True) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, text, places and counts of covered strings -> the digest of what is left and, if asked for, what is left."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     for batch in batches:
-        out = []
-        for text, los, ns in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-            data = text.as_py().encode()
-            if not los.is_valid or not len(los):
-                out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), data))
-                continue
-            lo = los.values.to_numpy(zero_copy_only=False).astype(np.int64)
-            hi = lo + ns.values.to_numpy(zero_copy_only=False) + length - 1
-            edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, lo, 1)
-            np.add.at(edge, hi, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-            kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            out.append((len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-        size, removed, spans, digest, kept = zip(*out, strict=True) if out else ((),) * 5
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        for first, end, buf, offsets in chunks(batch.column(1), CHUNK):
+            out = []
+            for i in range(first, end):
+                data = buf[offsets[i - first] : offsets[i - first + 1]]
+                los, ns = batch.column(2)[i], batch.column(3)[i]
+                if not los.is_valid or not len(los):
+                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), data.tobytes() if keep_bytes else None))
+                    continue
+                lo = los.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                hi = lo + ns.values.to_numpy(zero_copy_only=False) + length - 1
+                edge = np.zeros(len(data) + 1, np.int32)
+                np.add.at(edge, lo, 1)
+                np.add.at(edge, hi, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                kept = data[~gone]
+                out.append((len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.tobytes() if keep_bytes else None))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            columns = [batch.column(0).slice(first, end - first), *columns]
+            yield pa.RecordBatch.from_arrays(columns if keep_bytes else columns[:-1], names if keep_bytes else names[:-1])
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
@@ -486,7 +491,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, offsets in chunks(batch.column(0)):
+            for _, _, buf, offsets in chunks(batch.column(0), CHUNK):
                 h, _, doc, _, _ = runs(buf, offsets, length)
                 own = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1)[1] if len(h) else h
                 keys, n = np.unique(own, return_counts=True)
@@ -507,5 +512,5 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     joined = known.join(lists, ["doc_id", "row"], "left").select(F.col("doc_id").cast(kind).alias("doc_id"), "text", "los", "ns")
     none = F.lit(None).cast("array<int>")
     lost = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", none.alias("los"), none.alias("ns"))
-    out = joined.unionByName(lost).mapInArrow(lambda it: shorn(it, length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out if keep_bytes else out.drop("kept")
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
+    return joined.unionByName(lost).mapInArrow(lambda it: shorn(it, length, keep_bytes), schema)
