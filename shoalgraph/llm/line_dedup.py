@@ -115,10 +115,11 @@ def in_long_runs(mine: np.ndarray, sizes: np.ndarray, theirs: np.ndarray, min_ch
 
 
 def overlap(mine: np.ndarray, sizes: np.ndarray, theirs: np.ndarray, min_chars: int) -> set[int]:
-    """Lines in aligned blocks of at least ``min_chars``.
+    """Lines of mine in aligned blocks of at least ``min_chars``: all that lie in a run of that size which the other text has too.
 
-    A block that crosses others (as it was moved) isn't aligned with them, so what is left of long common runs is aligned
-    again until nothing more is found. A line long enough by itself counts wherever the text holds it.
+    A block that crosses others (as it was moved), or whose lines repeat, isn't aligned with them, so the first places of what is
+    left of long common runs are aligned again until nothing is left. A line long enough by itself counts wherever the text
+    holds it.
     """
     lines, other = mine.tolist(), theirs.tolist()
     gone = {k for x, _, n in patience(lines, other) if sizes[x : x + n].sum() >= min_chars for k in range(x, x + n)}
@@ -126,13 +127,14 @@ def overlap(mine: np.ndarray, sizes: np.ndarray, theirs: np.ndarray, min_chars:
     if shared.sum() == len(gone) or sizes[shared].sum() < min_chars:
         return gone
     left = set(np.flatnonzero(in_long_runs(mine, sizes, theirs, min_chars)).tolist())
+    once = list(dict.fromkeys(other))
     while True:
         alone = {lines[k] for k in gone if sizes[k] >= min_chars}
         gone |= {k for k in left if lines[k] in alone}
         left -= gone
-        rest = [k if k in left else -1 for k in range(len(lines))]
-        rest = [k for i, k in enumerate(rest) if k >= 0 or (i and rest[i - 1] >= 0)]  # one gap between what is left
-        new = {rest[k] for x, _, n in patience([lines[k] if k >= 0 else None for k in rest], other) for k in range(x, x + n)} if left else set()
+        first = {lines[k]: k for k in sorted(left, reverse=True)}
+        rest = sorted(first.values())
+        new = {rest[k] for x, _, n in patience([lines[k] for k in rest], once) for k in range(x, x + n)} if left else set()
         if not new:
             return gone
         gone |= new
