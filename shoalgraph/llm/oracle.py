@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoalgraph.llm import quality_rules
+from shoalgraph.llm import license_scan, quality_rules
 from shoalgraph.llm.sharding import OVERHEAD
 
 DOCS = "docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents)"
@@ -13,6 +13,30 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def line_dedup(min_chars: int = 40) -> str:
+    """A line goes from a text if it lies in a run of at least ``min_chars`` that the text of a smaller document holds too; later copies go whole.
+
+    Runs are the shortest ones from or up to each line; what alignment finds is the same set of lines.
+    """
+    white = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH {DOCS},
+split AS MATERIALIZED (SELECT r, doc_id, text, list_transform(string_split(text, chr(10)), lambda s: trim(s, {white})) AS l, string_split(text, chr(10)) AS raw FROM docs),
+firsts AS MATERIALIZED (SELECT text, min(doc_id) AS first FROM docs WHERE doc_id IS NOT NULL GROUP BY text),
+own AS MATERIALIZED (SELECT DISTINCT text, first AS doc_id, list_filter(l, lambda s: s <> '') AS l FROM firsts JOIN split USING (text)),
+lines AS MATERIALIZED (SELECT doc_id, k, l[k] AS s, sum(length(l[k])) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM own, unnest(range(1, len(l) + 1)) AS u(k)),
+ends AS (SELECT x.doc_id, x.k AS lo, min(y.k) AS hi FROM lines x JOIN lines y ON x.doc_id = y.doc_id AND y.k >= x.k AND y.upto - x.upto + length(x.s) >= {min_chars} GROUP BY 1, 2),
+starts AS (SELECT x.doc_id, max(y.k) AS lo, x.k AS hi FROM lines x JOIN lines y ON x.doc_id = y.doc_id AND y.k <= x.k AND x.upto - y.upto + length(y.s) >= {min_chars} GROUP BY x.doc_id, x.k),
+runs AS MATERIALIZED (SELECT doc_id, lo, hi, array_to_string(l[lo:hi], chr(10)) AS run FROM (SELECT * FROM ends UNION SELECT * FROM starts) JOIN own USING (doc_id)),
+owners AS (SELECT run, min(doc_id) AS owner FROM runs GROUP BY run),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, k FROM runs JOIN owners USING (run), unnest(range(lo, hi + 1)) AS u(k) WHERE doc_id > owner),
+places AS MATERIALIZED (SELECT doc_id, list(k) AS gone FROM gone GROUP BY doc_id),
+marked AS (SELECT split.*, first, gone, len(list_filter(l, lambda s: s <> '')) AS n FROM split LEFT JOIN firsts USING (text) LEFT JOIN places ON places.doc_id = split.doc_id AND first = split.doc_id),
+numbered AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: CASE WHEN l[i] = '' THEN 0 ELSE len(list_filter(l[1:i], lambda s: s <> '')) END) AS nth FROM marked)
+SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(CASE WHEN n > 0 AND first < doc_id THEN n ELSE coalesce(len(gone), 0) END AS BIGINT) AS n_removed,
+  CASE WHEN n > 0 AND first < doc_id THEN '' WHEN gone IS NULL THEN text
+    ELSE array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(gone, nth[i])), lambda i: raw[i]), chr(10)) END AS text FROM numbered"""
+
+
 def near_duplicates(least: float = 0.8, size: int = 5) -> str:
     """Exact multiset overlap of all pairs of texts that share a shingle, and what links connect."""
     return f"""WITH RECURSIVE {DOCS},
@@ -68,7 +92,8 @@ def repeated_spans(length: int = 50) -> str:
     """Every string of ``length`` bytes of every text, with its smallest document."""
     return f"""WITH {DOCS},
 base AS MATERIALIZED (SELECT r, doc_id, encode(text) AS x FROM docs),
-strings AS MATERIALIZED (SELECT r, doc_id, i, array_slice(x, i + 1, i + {length}) AS s FROM base, unnest(range(0, octet_length(x) - {length - 1})) AS u(i) WHERE doc_id IS NOT NULL),
+pieces AS MATERIALIZED (SELECT r, doc_id, b, array_slice(x, b + 1, b + {1023 + length}) AS x FROM base, unnest(range(0, octet_length(x), 1024)) AS u(b) WHERE doc_id IS NOT NULL),
+strings AS MATERIALIZED (SELECT r, doc_id, b + j AS i, array_slice(x, j + 1, j + {length}) AS s FROM pieces, unnest(range(0, octet_length(x) - {length - 1})) AS u(j)),
 first AS MATERIALIZED (SELECT s, min(doc_id) AS doc_id FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
 gone AS MATERIALIZED (SELECT r, i FROM strings JOIN first USING (s) WHERE strings.doc_id > first.doc_id),
 spans AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + {length} THEN 1 ELSE 0 END AS new FROM gone),
@@ -82,6 +107,40 @@ done AS (SELECT base.doc_id, octet_length(base.x) AS n_bytes, coalesce(kept.n, 0
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_bytes - length(x) / 2 AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(x)) AS kept_sha256 FROM done"""
 
 
+def licences() -> str:
+    """All matches of all rules, resolved, with each space of a text doubled so that neighbouring matches share none."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    doubled = lambda rule: " (?:" + rule.replace(" ?", "(?:@)?").replace(" ", "@").replace("@", "  ") + ") "
+    every = license_scan.rules()
+    rules = ", ".join(f"({quoted(label)}, {quoted(doubled(rule))}, {priority})" for label, rule, priority, _ in every)
+    phrases = ", ".join(f"({quoted(phrase)}, {len(phrase.split())}, {quoted(label)})" for phrase, label in license_scan.BASE.items())
+    hints = "|".join(sorted({k.strip() for _, _, _, k in every} | {p.split()[0] for p in license_scan.BASE}))
+    count = "len(regexp_extract_all({}, '[^ ]+'))"
+    return f"""WITH RECURSIVE {DOCS},
+lowered AS (SELECT r, doc_id, translate(text, '{upper}', '{upper.lower()}') AS x FROM docs),
+words AS MATERIALIZED (SELECT r, doc_id, regexp_extract_all(x, {quoted(license_scan.WORD)}) AS w FROM lowered),
+rules(label, rule, p) AS (VALUES {rules}),
+phrases(phrase, n, label) AS (VALUES {phrases}),
+hinted AS MATERIALIZED (SELECT r, w, ' ' || array_to_string(w, '  ') || ' ' AS x FROM words WHERE regexp_matches(array_to_string(w, ' '), {quoted(hints)})),
+base AS MATERIALIZED (SELECT r, i, label FROM hinted, phrases, unnest(range(1, len(w) + 1)) AS u(i) WHERE array_to_string(w[i:i + n - 1], ' ') = phrase),
+bases AS MATERIALIZED (SELECT r, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list(DISTINCT label) AS labels FROM base GROUP BY r),
+hit AS MATERIALIZED (SELECT r, label, p, rule, string_split_regex(x, rule) AS gaps, regexp_extract_all(x, rule) AS found FROM hinted, rules WHERE regexp_matches(x, rule)),
+part AS (SELECT r, label, p, rule, k, {count.format("gaps[k]")} AS gap, {count.format("found[k]")} AS size FROM hit, unnest(range(1, len(found) + 1)) AS u(k)),
+placed AS (SELECT DISTINCT r, label, p, sum(gap + size) OVER (PARTITION BY r, rule, label, p ORDER BY k) - size AS s, sum(gap + size) OVER (PARTITION BY r, rule, label, p ORDER BY k) AS e FROM part),
+outer_ AS (SELECT * FROM (SELECT *, max(e) OVER (PARTITION BY r ORDER BY s, e DESC, p DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM placed) WHERE before IS NULL OR before < e),
+ranked AS MATERIALIZED (SELECT r, s, e, p, label, row_number() OVER (PARTITION BY r ORDER BY p DESC, s) AS k FROM outer_),
+greedy(r, k, kept) AS (
+  SELECT r, k, [{{'s': s, 'e': e, 'p': p, 'label': label}}] FROM ranked WHERE k = 1
+  UNION ALL
+  SELECT d.r, d.k, CASE WHEN len(list_filter(greedy.kept, lambda x: x.s < d.e AND d.s < x.e)) > 0 THEN greedy.kept ELSE list_append(greedy.kept, {{'s': d.s, 'e': d.e, 'p': d.p, 'label': d.label}}) END
+  FROM greedy JOIN ranked d ON d.r = greedy.r AND d.k = greedy.k + 1),
+last AS (SELECT r, arg_max(kept, k) AS kept FROM greedy GROUP BY r),
+named AS (SELECT words.r, doc_id, len(w) AS n_words, bases.n, lo, hi, coalesce(bases.labels, []) AS own, coalesce(list_transform(kept, lambda x: x.label), []) AS more, coalesce(list_max(list_transform(kept, lambda x: x.p)), 0) AS best
+  FROM words LEFT JOIN bases USING (r) LEFT JOIN last USING (r))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word, array_to_string(list_sort(own), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(own, more))), ',') AS labels, greatest(best, CASE WHEN n > 0 THEN 40 ELSE 0 END) / CAST(100 AS DOUBLE) AS score FROM named"""
+
+
 def quality(window: int = quality_rules.WINDOW, rounds: int = quality_rules.ROUNDS) -> str:
     """Counts, votes, and the same rounds of expectation-maximisation on the counts of vote patterns."""
     words = "[" + ", ".join(map(quoted, quality_rules.FUNCTION_WORDS)) + "]"
@@ -128,4 +187,4 @@ FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base FROM
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash": near_duplicates(), "op4_sharding": shards(), "op9_suffix_dedup": repeated_spans(), "op10_quality_rules": quality()}
+    return {"op1_line_dedup": line_dedup(), "op3_minhash": near_duplicates(), "op4_sharding": shards(), "op6_license_scan": licences(), "op9_suffix_dedup": repeated_spans(), "op10_quality_rules": quality()}

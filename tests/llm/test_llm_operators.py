@@ -671,6 +671,22 @@ def test_queries_equal_their_sql(spark, name):
     assert canon(got.toPandas()) == canon(want)
 
 
+@pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
+def test_queries_equal_their_sql_on_odd_rows(spark, odd, tmp_path, name):
+    """Null, empty, blank, tied, repeated and long texts, null ids; moved and repeated lines, near copies, licences, and junk."""
+    r = random.Random(15)
+    words = [f"w{k}" for k in range(300)]
+    base = [" ".join(r.choices(words, k=9)) + "." for _ in range(12)]
+    made = [(100 + k, "\n".join(r.sample(base, r.randrange(1, 12)) + [" ".join(r.choices(words, k=r.randrange(1, 40)))] * r.randrange(3))) for k in range(30)]
+    near = r.choices(words, k=120)
+    made += [(200 + k, " ".join(w if r.random() > 0.01 else "x" for w in near)) for k in range(12)]
+    made += [(300, "# $ | " * 30), (301, "LOUD!! " * 40), (302, "mit license and CC BY-SA 4.0, gpl v3 only"), (303, "short"), (303, "other text of an id that is there twice")]
+    more = spark.createDataFrame(made, "doc_id long, text string").selectExpr("doc_id", "text")
+    odd.select("doc_id", "text").unionByName(more).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = queries.queries()[name](spark, str(tmp_path)), oracle_rows(str(tmp_path), oracle.oracle_sql()[name], ["documents"])
+    assert canon(got.toPandas()) == canon(want)
+
+
 # All: odd rows and empty tables
 
 
