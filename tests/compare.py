@@ -10,9 +10,9 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def oracle_rows(sf_dir: str, sql: str):
-    con = duckdb.connect()
-    for t in TABLES:
+def oracle_rows(sf_dir: str, sql: str, tables: list[str] | None = None):
+    con = duckdb.connect(config={"memory_limit": "4GB"})
+    for t in tables or TABLES:
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path if os.path.isfile(path) else path + '/*.parquet'}'")
     return con.execute(sql).df()
