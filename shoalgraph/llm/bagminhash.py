@@ -237,7 +237,9 @@ def across(crowd: DataFrame, labels: DataFrame, items: DataFrame, least: float)
     plan = by_label.groupBy("bucket").agg(F.max(F.struct("c", "label", "w")).alias("m"), F.sum("w").alias("all"), F.sum("c").alias("c"))
     blocks = lambda w: F.ceil(w / F.lit(BLOCK)).cast("int")
     whole = F.col("all") <= BLOCK
-    plan = plan.select("bucket", "c", F.col("m.label").alias("major"), F.when(whole, 0).otherwise(blocks(F.col("m.w"))).alias("far"), F.when(whole, 1).otherwise(F.greatest(F.lit(1), blocks(F.col("all") - F.col("m.w")))).alias("near"))
+    far = F.when(whole, 0).otherwise(blocks(F.col("m.w")))
+    near = F.when(whole, 1).otherwise(F.greatest(F.lit(1), blocks(F.col("all") - F.col("m.w"))))
+    plan = plan.select("bucket", "c", F.col("m.label").alias("major"), far.alias("far"), near.alias("near"))
     told = join_by_size(open_, cut(plan), "bucket", "c")
     main = F.col("label") == F.col("major")
     own = F.when(main & (F.col("far") > 0), F.col("near") + F.pmod(F.xxhash64("key"), F.col("far"))).otherwise(F.pmod(F.xxhash64("key"), F.col("near"))).cast("int")

@@ -30,13 +30,37 @@ BROADCAST_ROWS = 200_000
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option".split())
-GONE = frozenset("head script style noscript template iframe object embed applet svg math canvas audio video form button select textarea input nav footer aside dialog menu search".split())
+BLOCK = frozenset(
+    """
+    address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3
+    h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul
+    caption option
+    """.split()
+)
+GONE = frozenset(
+    """
+    head script style noscript template iframe object embed applet svg math canvas audio video form button select textarea input
+    nav footer aside dialog menu search
+    """.split()
+)
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "body", "html", "legend"}
 #: Words in class, id or role that mark what isn't the article.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored sponsors promo promos promotion sidebar sidebars aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar header footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments commentlist disqus respond reply replies pagination pager toolbar copyright legal disclaimer skip search searchbox contentinfo complementary dialog".split())
+MARKS = frozenset(
+    """
+    ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored sponsors promo promos promotion
+    sidebar sidebars aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs masthead topbar header footer
+    cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup
+    login social share sharing related recommended recommendations comment comments commentlist disqus respond reply replies
+    pagination pager toolbar copyright legal disclaimer skip search searchbox contentinfo complementary dialog
+    """.split()
+)
 #: Words that may stand beside a mark in the name of a part of the page.
-PARTS = frozenset("area bar block body box button buttons container content form group inner item items link links list main outer page panel post posts row section site slot thread top unit wrap wrapper".split())
+PARTS = frozenset(
+    """
+    area bar block body box button buttons container content form group inner item items link links list main outer page panel
+    post posts row section site slot thread top unit wrap wrapper
+    """.split()
+)
 #: Marks that inside an article name parts of it just as well.
 OWN = frozenset("alert banner dialog disclaimer header legal notice notices search skip".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
@@ -141,7 +165,18 @@ class Page:
         gone = tag in GONE or named or (tag == "header" and not self.article)
         if not self.article:
             self.trace.append(f"<{tag}")
-        self.stack.append({"tag": tag, "block": block, "gone": int(gone), "article": int(article and not (gone or self.gone)), "main": int(main), "first": len(self.blocks), "trace": max(0, len(self.trace) - 1), "holds": False})
+        self.stack.append(
+            {
+                "tag": tag,
+                "block": block,
+                "gone": int(gone),
+                "article": int(article and not (gone or self.gone)),
+                "main": int(main),
+                "first": len(self.blocks),
+                "trace": max(0, len(self.trace) - 1),
+                "holds": False,
+            }
+        )
         self.gone += gone
         self.article += self.stack[-1]["article"]
         self.main += main
@@ -265,7 +300,9 @@ def texts(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = 10, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(
+    pages: DataFrame, min_pages: int = 10, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
     A subtree is a template when at least ``min_pages`` pages of its host with different blocks hold it; pages

@@ -30,10 +30,18 @@ def rules() -> list[tuple[str, str, int, str]]:
     """(label, regular expression, priority, keyword) in order; written as families times versions times forms."""
     out: list[tuple[str, str, int, str]] = []
     lic = "licen[sc]e"
-    for short, name, vs in (("gpl", "general public", ("1.0", "2.0", "3.0")), ("lgpl", "(?:lesser|library) general public", ("2.0", "2.1", "3.0")), ("agpl", "affero general public", ("1.0", "3.0"))):
+    for short, name, vs in (
+        ("gpl", "general public", ("1.0", "2.0", "3.0")),
+        ("lgpl", "(?:lesser|library) general public", ("2.0", "2.1", "3.0")),
+        ("agpl", "affero general public", ("1.0", "3.0")),
+    ):
         for v, w in versions(*vs):
             number = w.removesuffix(" 0") + "(?: 0)?"
-            forms = (f"(?:gnu )?{name} {lic}(?: as published by the free software foundation)?(?: either)? (?:v|version )?{number}", f"(?:gnu )?{short} ?v?{number}", f"spdx {lic} identifier {short} {number}")
+            forms = (
+                f"(?:gnu )?{name} {lic}(?: as published by the free software foundation)?(?: either)? (?:v|version )?{number}",
+                f"(?:gnu )?{short} ?v?{number}",
+                f"spdx {lic} identifier {short} {number}",
+            )
             for form, keyword in zip(forms, ("public licen", short, "spdx"), strict=True):
                 out.append((f"{short}-{v}-or-later", f"{form}(?: of the {lic})? (?:or (?:at your option )?(?:any )?later|or later)(?: version)?", 90, keyword))
                 out.append((f"{short}-{v}-only", f"{form} only", 90, keyword))
@@ -41,7 +49,14 @@ def rules() -> list[tuple[str, str, int, str]]:
         out.append((short, f"(?:released|licensed|distributed) under (?:the )?(?:terms of (?:the )?)?(?:gnu )?{name} {lic}", 50, "public licen"))
         out.append((short, f"gnu {name} {lic}", 40, "public licen"))
         out.append((short, f"gnu {short}", 40, short))
-    for parts, names in (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nc", "attribution non ?commercial"), ("by-nd", "attribution no ?deriv(?:ative|ativ|s)(?:es|s)?"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative|s)(?:s)?")):
+    for parts, names in (
+        ("by", "attribution"),
+        ("by-sa", "attribution share ?alike"),
+        ("by-nc", "attribution non ?commercial"),
+        ("by-nd", "attribution no ?deriv(?:ative|ativ|s)(?:es|s)?"),
+        ("by-nc-sa", "attribution non ?commercial share ?alike"),
+        ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative|s)(?:s)?"),
+    ):
         w = parts.replace("-", " ")
         for v, number in versions("1.0", "2.0", "2.5", "3.0", "4.0"):
             out.append((f"cc-{parts}-{v}", f"cc {w} {number}", 80, f"cc {w}"))
@@ -50,7 +65,23 @@ def rules() -> list[tuple[str, str, int, str]]:
         out.append((f"cc-{parts}", f"(?:licensed|released|available) under (?:a |the )?cc {w}", 50, f"cc {w}"))
         out.append((f"cc-{parts}", f"cc {w}", 40, f"cc {w}"))
         out.append((f"cc-{parts}", f"creative commons {names}", 40, "creative commons"))
-    for label, name, vs in (("apache", "apache(?: software)?", ("1.0", "1.1", "2.0")), ("mpl", "mozilla public", ("1.0", "1.1", "2.0")), ("epl", "eclipse public", ("1.0", "2.0")), ("cddl", "common development and distribution", ("1.0", "1.1")), ("artistic", "(?:perl )?artistic", ("1.0", "2.0")), ("bsl", "boost software", ("1.0",)), ("eupl", "european union public", ("1.0", "1.1", "1.2")), ("ofl", "(?:sil )?open font", ("1.0", "1.1")), ("afl", "academic free", ("2.0", "2.1", "3.0")), ("osl", "open software", ("1.0", "2.0", "2.1", "3.0")), ("cpl", "common public", ("1.0",)), ("zpl", "zope public", ("2.0", "2.1")), ("php", "php", ("3.0", "3.01")), ("psf", "python software foundation", ("2.0",)), ("lppl", "latex project public", ("1.0", "1.3"))):
+    for label, name, vs in (
+        ("apache", "apache(?: software)?", ("1.0", "1.1", "2.0")),
+        ("mpl", "mozilla public", ("1.0", "1.1", "2.0")),
+        ("epl", "eclipse public", ("1.0", "2.0")),
+        ("cddl", "common development and distribution", ("1.0", "1.1")),
+        ("artistic", "(?:perl )?artistic", ("1.0", "2.0")),
+        ("bsl", "boost software", ("1.0",)),
+        ("eupl", "european union public", ("1.0", "1.1", "1.2")),
+        ("ofl", "(?:sil )?open font", ("1.0", "1.1")),
+        ("afl", "academic free", ("2.0", "2.1", "3.0")),
+        ("osl", "open software", ("1.0", "2.0", "2.1", "3.0")),
+        ("cpl", "common public", ("1.0",)),
+        ("zpl", "zope public", ("2.0", "2.1")),
+        ("php", "php", ("3.0", "3.01")),
+        ("psf", "python software foundation", ("2.0",)),
+        ("lppl", "latex project public", ("1.0", "1.3")),
+    ):
         for v, number in versions(*vs):
             n = number.removesuffix(" 0") + "(?: 0)?"
             out.append((f"{label}-{v}", f"(?:licensed under |released under |under )?(?:the )?{name} {lic}(?: agreement)? (?:v|version )?{n}", 80, "licen"))
@@ -58,7 +89,28 @@ def rules() -> list[tuple[str, str, int, str]]:
             out.append((f"{label}-{v}", f"spdx {lic} identifier {label} {number}", 85, "spdx"))
         out.append((label, f"(?:released|licensed|distributed) under (?:the )?(?:terms of (?:the )?)?{name} {lic}", 50, "licen"))
         out.append((label, f"{name} {lic}", 40, "licen"))
-    for label, name in (("mit", "mit"), ("mit", "expat"), ("isc", "isc"), ("zlib", "zlib"), ("x11", "x11"), ("ncsa", "ncsa"), ("ruby", "ruby"), ("vim", "vim"), ("w3c", "w3c"), ("curl", "curl"), ("icu", "icu"), ("postgresql", "postgresql"), ("bsd-2-clause", "(?:simplified|2 clause) bsd"), ("bsd-3-clause", "(?:new|modified|revised|3 clause) bsd"), ("bsd-4-clause", "(?:original|4 clause) bsd"), ("0bsd", "(?:0bsd|zero clause bsd)"), ("bsd", "bsd"), ("openssl", "openssl"), ("json", "json"), ("beerware", "beer ?ware")):
+    for label, name in (
+        ("mit", "mit"),
+        ("mit", "expat"),
+        ("isc", "isc"),
+        ("zlib", "zlib"),
+        ("x11", "x11"),
+        ("ncsa", "ncsa"),
+        ("ruby", "ruby"),
+        ("vim", "vim"),
+        ("w3c", "w3c"),
+        ("curl", "curl"),
+        ("icu", "icu"),
+        ("postgresql", "postgresql"),
+        ("bsd-2-clause", "(?:simplified|2 clause) bsd"),
+        ("bsd-3-clause", "(?:new|modified|revised|3 clause) bsd"),
+        ("bsd-4-clause", "(?:original|4 clause) bsd"),
+        ("0bsd", "(?:0bsd|zero clause bsd)"),
+        ("bsd", "bsd"),
+        ("openssl", "openssl"),
+        ("json", "json"),
+        ("beerware", "beer ?ware"),
+    ):
         out.append((label, f"(?:released|licensed|distributed|available) under (?:the )?(?:terms of (?:the )?)?{name} {lic}", 50, "licen"))
         out.append((label, f"{name}(?: style)? {lic}", 40, "licen"))
         out.append((label, f"spdx {lic} identifier {name}", 85, "spdx"))
@@ -90,7 +142,8 @@ def places(text: Column, regex: Column, extra: list[Column]) -> Column:
 
     def of_both(found: Column) -> Column:
         gaps = F.split(text, regex, -1)
-        widths = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("f")), lambda x: F.struct(n_words(x["g"]).alias("g"), F.coalesce(n_words(x["f"]), F.lit(0)).alias("f"), F.coalesce(x["f"], F.lit("")).alias("t")))
+        width = lambda x: F.struct(n_words(x["g"]).alias("g"), F.coalesce(n_words(x["f"]), F.lit(0)).alias("f"), F.coalesce(x["f"], F.lit("")).alias("t"))
+        widths = F.transform(F.arrays_zip(gaps.alias("g"), found.alias("f")), width)
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
 
         def step(acc: Column, x: Column) -> Column:

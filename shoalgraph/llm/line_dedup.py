@@ -183,7 +183,8 @@ def removals(docs: DataFrame, rare_share: float | None, rare_least: int, min_cha
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), full.alias("x"))
     rows = rows.where((F.size("x") > 0) & F.col("doc_id").isNotNull())
     rows = cut(rows.select("doc_id", "key", F.transform("x", lambda s: F.xxhash64(s)).alias("lines"), F.transform("x", F.length).alias("sizes")))
-    firsts = rows.groupBy("key").agg(F.min_by(F.struct("lines", "sizes"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "key", "copies", "x.*")
+    firsts = rows.groupBy("key").agg(F.min_by(F.struct("lines", "sizes"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    firsts = firsts.select("doc_id", "key", "copies", "x.*")
     firsts = cut(firsts)
     kind = docs.schema[id_col].dataType.simpleString()
     lines = cut(firsts.select("doc_id", "lines", "sizes").mapInArrow(lambda it: starts(it, min_chars), f"doc_id {kind}, line long"))
@@ -204,7 +205,9 @@ def removals(docs: DataFrame, rare_share: float | None, rare_least: int, min_cha
     return partly.unionByName(whole)
 
 
-def dedup_lines(docs: DataFrame, rare_share: float | None = None, rare_least: int = 50, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, rare_share: float | None = None, rare_least: int = 50, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", report: bool = False
+) -> DataFrame:
     """The documents with duplicate line blocks deleted from later ones; all columns and rows stay.
 
     With report, doc_id, n_lines (that aren't blank), n_removed and the remaining text are returned instead. The first of

@@ -115,4 +115,5 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     """Bytes and tokens of every text. A null text is an empty one with no tokens; ids may be null or repeat; other columns don't matter."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(lambda it: counted(it, model, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return texts.mapInArrow(lambda it: counted(it, model, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
