@@ -9,6 +9,8 @@ Everything happens within a row, so nothing is shuffled.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,14 +198,13 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base_regex = framed("|".join(BASE))
     lowered = F.translate(text_or_empty(text_col), upper, upper.lower())
 
+    table = [{"k": f" {k}", "rules": [{"r": framed(r), "p": -p, "l": label} for label, r, p, key in every if key == k]} for k in keywords]
+    groups = F.from_json(F.lit(json.dumps(table)), "array<struct<k:string,rules:array<struct<r:string,p:int,l:string>>>>")  # one literal
+
     def by_rules(text: Column) -> Column:
-        groups = []
-        for keyword in keywords:
-            own = [F.struct(F.lit(framed(r)).alias("r"), F.lit(-p).alias("p"), F.lit(label).alias("l")) for label, r, p, k in every if k == keyword]
-            table = F.array(*own)
-            found = F.flatten(F.array_compact(F.transform(table, lambda x: places(text, x["r"], [x["p"].alias("minus_p"), x["l"].alias("label")]))))
-            groups.append(F.when(F.contains(text, F.lit(f" {keyword}")), found))
-        return resolved(F.sort_array(F.flatten(F.array_compact(F.array(*groups)))))
+        called = F.flatten(F.transform(F.filter(groups, lambda g: F.contains(text, g["k"])), lambda g: g["rules"]))
+        found = F.transform(called, lambda x: places(text, x["r"], [x["p"].alias("minus_p"), x["l"].alias("label")]))
+        return resolved(F.sort_array(F.flatten(F.array_compact(found))))
 
     def of_text(lower: Column) -> Column:
         words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, NOT_WORD, " ")), F.lit(" "))
