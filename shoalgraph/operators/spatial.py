@@ -54,8 +54,8 @@ def points_in_regions(points: DataFrame, edges: DataFrame, strategy: str = "auto
     """Left join: columns of points and province_name, null where no region holds the point.
 
     The join is on grid cells of side ``cell``, or of a side doubled until all regions have a bounded number of
-    tiles. strategy: "broadcast" sends the tiles to every task, "grid" shuffles both sides by cell (adaptive execution splits
-    crowded cells); "auto" counts edges and tiles and broadcasts within fixed bounds.
+    tiles. strategy: "broadcast" sends the tiles to every task, "grid" leaves that to the planner, which shuffles both sides by cell
+    where they are large (adaptive execution splits crowded cells); "auto" counts edges and tiles and broadcasts within fixed bounds.
     """
     regions = region_table(edges)
     wide, high = F.col("x_hi") - F.col("x_lo"), F.col("y_hi") - F.col("y_lo")
@@ -71,7 +71,7 @@ def points_in_regions(points: DataFrame, edges: DataFrame, strategy: str = "auto
     within = box & inside(F.col("lng"), F.col("lat"), F.col("sides"))
     placed = points.withColumn("_pi", F.floor(F.col("lng") / cell)).withColumn("_pj", F.floor(F.col("lat") / cell))
     tiled = tiles(regions, cell)
-    tiled = F.broadcast(tiled) if strategy == "broadcast" else tiled.hint("merge")
+    tiled = F.broadcast(tiled) if strategy == "broadcast" else tiled
     joined = placed.join(tiled, (F.col("_pi") == F.col("_i")) & (F.col("_pj") == F.col("_j")) & within, "left")
     return joined.select(*points.columns, F.col("region").alias("province_name"))
 
