@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalgraph.llm.blocks import Prefix, chunks, mixed, replicas, shingles, words
+from shoalgraph.llm.blocks import Prefix, chunks, mixed, replicas, shingles, tidied, words
 from shoalgraph.llm.runtime import cut, join_by_size, prepare, text_or_empty, unused
 
 SHINGLE, BANDS, ROWS = 5, 20, 5
@@ -97,6 +97,7 @@ def multisets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return replicas(*shingles(Prefix(buf).spans(start, end), before, SHINGLE))
 
 
+@tidied
 def signed(batches: Iterator[pa.RecordBatch], n_bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """Columns id, key, text -> id, key, n (the multiset's size), bands."""
     for batch in batches:
@@ -109,6 +110,7 @@ def signed(batches: Iterator[pa.RecordBatch], n_bands: int, rows: int) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), lists], ["doc_id", "key", "n", "bands"])
 
 
+@tidied
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns key, text -> key and the multiset as bytes: (shingle, occurrence) hashes of 64 bits, sorted."""
     for batch in batches:
@@ -123,6 +125,7 @@ def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "items"])
 
 
+@tidied
 def verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Columns a, b, items_a, items_b -> links with their similarity."""
     for batch in batches:
@@ -198,6 +201,7 @@ class Group:
                     yield from ((x, y, score) for y, score in self.compare(x, *self.fitting(x, lo, hi)))
 
 
+@tidied
 def compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Columns bucket, p, q, block, key, label, items, main, sorted by the first three -> links and the labels they join."""
 

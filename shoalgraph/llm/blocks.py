@@ -6,6 +6,8 @@ a chunk of its own), so memory is bounded by the longest text, not by the batch.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,32 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 LIMIT = 1 << 20
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system, so that a worker that waits for its next task holds none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def tidied(f):
+    """A generator function that tidies up after itself."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        try:
+            yield from f(*args, **kwargs)
+        finally:
+            tidy()
+
+    return run
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: freed memory stays with the worker
+    _libc = None
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalgraph.llm.blocks import Prefix, chunks, mixed
+from shoalgraph.llm.blocks import Prefix, chunks, mixed, tidied, tidy
 from shoalgraph.llm.runtime import cut, prepare, text_or_empty
 
 #: Bytes of the substrings that minimizers are chosen from.
@@ -201,6 +201,7 @@ def sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], ["bucket", "kind", "data"])
 
 
+@tidied
 def dealt(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, row, text -> packed runs for buckets."""
     held, size = [], 0
@@ -224,6 +225,7 @@ def dealt(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray,
             if size >= FLUSH:
                 yield flush()
                 size = 0
+                tidy()
     yield flush()
 
 
@@ -241,6 +243,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, in
         yield now, parts
 
 
+@tidied
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed runs of whole buckets -> (doc_id, row, lo, n, look): covered runs, and those whose bytes have to be looked at."""
     for (_, kind), parts in by_bucket(batches):
@@ -251,6 +254,8 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(many):  # a few minimizers (or bodies) at a time
             own = [x[(x["h" if kind == OPEN else "body"] >> 1) % many == k] for x in map(unpacked, parts)]
             yield compared_runs(np.concatenate(own), kind)
+            del own
+            tidy()
 
 
 def compared_runs(x: np.ndarray, kind: int) -> pa.RecordBatch:
@@ -273,6 +278,7 @@ def told(x: np.ndarray, look: np.ndarray | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*cols, pa.array(look)], ["doc_id", "row", "lo", "n", "look"])
 
 
+@tidied
 def opened(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, row, text, places and sizes of runs -> the runs' bytes for buckets."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -322,6 +328,7 @@ def opened(batches: Iterator[pa.RecordBatch], length: int, frequent: np.ndarray,
             if size >= FLUSH:
                 yield flush()
                 size = 0
+                tidy()
     if held:
         yield flush()
 
@@ -417,6 +424,7 @@ def parts_of(x: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.
         lo = hi
 
 
+@tidied
 def sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Packed bytes of whole buckets -> covered (doc_id, row, lo, n)."""
     for (_, kind), parts in by_bucket(batches):
@@ -440,6 +448,7 @@ def sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
                 yield told(out, None)
 
 
+@tidied
 def shorn(batches: Iterator[pa.RecordBatch], length: int, keep_bytes: bool = True) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, text, places and counts of covered strings -> the digest of what is left and, if asked for, what is left."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
