@@ -52,6 +52,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     t = np.zeros(n + 3, np.int64)
     t[:n] = s
     t[:n] += 1
+    wide, deep = int(t.max()).bit_length(), n.bit_length()  # bits of a value, of a rank
+    if 2 * wide + deep > 63:
+        return doubled(s)
     ones, twos, zeros = (np.arange(k, n + (k == 1 and n % 3 == 1), 3) for k in (1, 2, 0))
     sample = np.concatenate([ones, twos])
     packed = t[sample]
@@ -66,8 +69,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         order = doubled(names) if names.max() >= 1 << 20 else suffix_array(names)
     rank = np.zeros(n + 4, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
-    key1 = lambda i: t[i] << 40 | rank[i + 1]
-    key2 = lambda i: t[i] << 42 | t[i + 1] << 21 | rank[i + 2]
+    key1 = lambda i: t[i] << deep | rank[i + 1]
+    key2 = lambda i: t[i] << wide + deep | t[i + 1] << deep | rank[i + 2]
     zero = zeros[np.argsort(key1(zeros))]
     by_rank = sample[order]
     by_rank = by_rank[by_rank < n]
@@ -390,8 +393,7 @@ def sorted_out(x: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray
 def parts_of(x: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(runs, bytes) of a bucket in parts of about SORTED bytes that can be sorted by themselves.
 
-    A part holds whole minimizers. One with more bytes than that is dealt by string: each of its strings becomes a run, and goes
-    to a part by its hash.
+    A part holds whole minimizers. One with more bytes than that is dealt by string.
     """
     width = x["n"].astype(np.int64) + length - 1
     start = np.cumsum(width) - width
@@ -406,24 +408,51 @@ def parts_of(x: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.
     while lo < len(first):
         hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:]), SORTED, side="right")))
         a, b = edge[lo], edge[hi]
-        if hi == lo + 1 and size[lo] > SORTED and x["n"][a:b].max() > 1:
-            n = x["n"][a:b].astype(np.int64)
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            of, at = np.repeat(np.arange(a, b), n), np.repeat(start[a:b], n) + within
-            part = Prefix(data).spans(at, at + length) % np.uint64(max(1, int(n.sum()) * length // SORTED))
-            for k in range(int(part.max()) + 1):
-                own = np.flatnonzero(part == k)
-                y = x[of[own]]
-                y["lo"] += within[own].astype(np.uint32)
-                y["n"] = 1
-                yield y, data[(at[own][:, None] + np.arange(length)).ravel()]
+        w = width[a:b]
+        own = data[np.repeat(start[a:b] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
+        if hi == lo + 1 and size[lo] > SORTED:
+            yield from by_string(x[a:b], own, length)
         else:
-            w = width[a:b]
-            index = np.repeat(start[a:b] - (np.cumsum(w) - w), w) + np.arange(w.sum())
-            yield x[a:b], data[index]
+            yield x[a:b], own
         lo = hi
 
 
+def by_string(x: np.ndarray, data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(runs of one string, bytes) of the runs of a minimizer, in parts of about SORTED bytes.
+
+    Equal strings stand side by side, those of the smallest id first. However many there are, parts stay small: one that begins amid
+    equal strings starts with the first of them, so that each part knows their owner.
+    """
+    n = x["n"].astype(np.int64)
+    begin = np.cumsum(n + length - 1) - (n + length - 1)
+    prefix, last, step = Prefix(data), np.cumsum(n), max(1, SORTED // length)
+    block = (last - 1) // (4 * COMPARED)
+    edge = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(x))
+    passes = np.uint64(block[-1] + 1)
+    for k in range(int(passes)):  # a few strings at a time
+        picked = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            of = np.repeat(np.arange(a, b), n[a:b])
+            within = np.arange(len(of)) - np.repeat(last[a:b] - n[a:b] - (last[a] - n[a]), n[a:b])
+            h = prefix.spans(begin[of] + within, begin[of] + within + length)
+            own = h % passes == k
+            picked.append((of[own].astype(np.int32), within[own].astype(np.uint32), h[own]))
+        of, within, h = (np.concatenate(c) for c in zip(*picked, strict=True))
+        del picked
+        order = np.lexsort((x["doc"][of], h))
+        of, within, h = of[order], within[order], h[order]
+        new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        for lo in range(0, len(of), step):
+            own = np.arange(lo, min(lo + step, len(of)))
+            first = new[np.searchsorted(new, lo, side="right") - 1]
+            if first < lo:
+                own = np.append(first, own)
+            y = x[of[own]]
+            y["lo"] += within[own]
+            y["n"] = 1
+            yield y, data[((begin[of[own]] + within[own])[:, None] + np.arange(length)).ravel()]
+
+
 @tidied
 def sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Packed bytes of whole buckets -> covered (doc_id, row, lo, n)."""

@@ -527,6 +527,11 @@ def test_doubled():
     assert repeated_spans.doubled(s).tolist() == sorted(range(200), key=lambda i: s[i:].tolist())
 
 
+def test_suffix_array_of_more_places_than_21_bits_number():
+    n = 3_300_000
+    assert (repeated_spans.suffix_array(np.zeros(n, np.int64)) == np.arange(n - 1, -1, -1)).all()
+
+
 def shorn(rows, length=50):
     seen, out = {}, {}
     for k, text in sorted(rows, key=lambda r: r[0]):
@@ -582,6 +587,23 @@ def test_parts_of_a_bucket_give_the_same_spans(monkeypatch, small):
     assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got} == shorn(made)
 
 
+@pytest.mark.parametrize("n", [1, 40])
+def test_parts_stay_small_however_many_strings_are_equal(monkeypatch, n):
+    """Runs of one minimizer, all of the same string (of one string each as frequent ones come, or of several)."""
+    monkeypatch.setattr(repeated_spans, "SORTED", 1000)
+    monkeypatch.setattr(repeated_spans, "COMPARED", 100)
+    x = np.zeros(300, repeated_spans.RUN)
+    x["doc"], x["row"], x["n"] = np.arange(300)[::-1] // 3, np.arange(300), n
+    x["h"], x["body"] = n > 1, 7
+    got = set()
+    for y, own in repeated_spans.parts_of(x, np.full(300 * (n + 49), 97, np.uint8), 50):
+        assert len(own) <= 1000 + 50
+        run, first, count = repeated_spans.sorted_out(y, own, 50)
+        for r, f, c in zip(y[run], first.tolist(), count.tolist(), strict=True):
+            got |= {(int(r["row"]), int(r["lo"]) + f + i) for i in range(c)}
+    assert got == {(k, i) for k in range(297) for i in range(n)}  # all but those of document 0
+
+
 # 10: quality rules
 
 
