@@ -546,7 +546,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     asked = known.join(by_row.select("doc_id", "row", F.col("x.lo").alias("los"), F.col("x.n").alias("ns")), ["doc_id", "row"])
     sorted_ = dealt_by_bucket(asked.mapInArrow(lambda it: opened(it, length, shared.value, buckets), parcel)).mapInArrow(lambda it: sorted_buckets(it, length), found)
     covered = first.where("not look").unionByName(sorted_).select("doc_id", "row", "lo", "n")
-    lists = covered.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "n")).alias("x")).select("doc_id", "row", F.col("x.lo").alias("los"), F.col("x.n").alias("ns"))
+    place = F.shiftleft(F.col("lo").cast("long"), 8).bitwiseOR(F.col("n").cast("long")).alias("x")  # n is LONGEST at most; a number takes a quarter of a struct
+    lists = covered.select("doc_id", "row", place).groupBy("doc_id", "row").agg(F.collect_list("x").alias("x"))
+    lists = lists.select("doc_id", "row", F.expr("transform(x, v -> int(shiftright(v, 8)))").alias("los"), F.expr("transform(x, v -> int(v & 255))").alias("ns"))
     joined = known.join(lists, ["doc_id", "row"], "left").select(F.col("doc_id").cast(kind).alias("doc_id"), "text", "los", "ns")
     none = F.lit(None).cast("array<int>")
     lost = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", none.alias("los"), none.alias("ns"))
