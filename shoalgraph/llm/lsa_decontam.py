@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalgraph.llm.blocks import LOWER, PUNCTUATION, Prefix, chunks, words
+from shoalgraph.llm.blocks import LOWER, PUNCTUATION, Prefix, chunks, tidied, words
 from shoalgraph.llm.runtime import cut, prepare, text_or_empty
 
 ITEMS, CHARS, RANK, OVER, SEED = 1024, 1 << 19, 192, 16, 7
@@ -45,6 +45,8 @@ TRUSTED = 0.8
 LEAST = 0.6
 #: Slots of the filter for words that can't be terms, and words of texts that are taken at once.
 FILTER, AT_ONCE = 1 << 18, 1 << 20
+#: Terms of blocks that are multiplied with dense rows at once.
+ENTRIES = 1 << 15
 
 
 @dataclass
@@ -132,6 +134,7 @@ def of_texts(batch: pa.RecordBatch, column: int, model: Model) -> Iterator[tuple
         yield lo, Found(before, *model.terms(h))
 
 
+@tidied
 def noted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, text -> doc_id, n (words), terms: places from the text's first word and numbers of its terms."""
     for batch in batches:
@@ -165,6 +168,7 @@ def of_notes(batch: pa.RecordBatch) -> Iterator[tuple[int, Found]]:
         lo = hi
 
 
+@tidied
 def frequencies(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     df, total = np.zeros(len(model.vocab), np.int64), 0
     for batch in batches:
@@ -197,17 +201,28 @@ def summed_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def projected(model: Model, block: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the basis rows of each (sorted) block's terms; only ENTRIES terms have a row of their own at a time."""
+    out = np.zeros((n, model.basis.shape[1]), np.float32)
+    lo = 0
+    while lo < len(block):
+        hi = int(np.searchsorted(block, block[min(len(block), lo + ENTRIES) - 1], side="right"))
+        first, end, t = int(block[lo]), int(block[hi - 1]) + 1, term[lo:hi]
+        out[first:end] = summed_rows(block[lo:hi] - first, (weight[lo:hi] / model.idf[t])[:, None].astype(np.float32) * model.basis[t], end - first)
+        lo = hi
+    return out
+
+
 def omega(n: int, width: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((n, width), dtype=np.float32)
 
 
 def sketch(block: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, om: np.ndarray, into: np.ndarray) -> None:
     """Adds A' (A omega) of some rows of A, given as weights that are normed here."""
-    step = 1 << 15
     w = normed(block, weight, n)
     lo = 0
     while lo < len(block):
-        hi = min(len(block), lo + step)
+        hi = min(len(block), lo + ENTRIES)
         hi = int(np.searchsorted(block, block[hi - 1], side="right"))
         rows, inverse = np.unique(block[lo:hi], return_inverse=True)
         y = summed_rows(inverse, w[lo:hi, None] * om[term[lo:hi]], len(rows))
@@ -218,6 +233,7 @@ def sketch(block: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, om:
         lo = hi
 
 
+@tidied
 def sketches(batches: Iterator[pa.RecordBatch], model: Model, width: int) -> Iterator[pa.RecordBatch]:
     om, out = omega(len(model.vocab), width), np.zeros((len(model.vocab), width), np.float32)
     for batch in batches:
@@ -228,6 +244,7 @@ def sketches(batches: Iterator[pa.RecordBatch], model: Model, width: int) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([x.tobytes() for x in out[seen]], pa.binary())], ["term", "row"])
 
 
+@tidied
 def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the rows of equal terms of one partition."""
     total: dict[int, np.ndarray] = {}
@@ -348,7 +365,7 @@ class Search:
         block, term, weight = weighted(model, block, term, times)
         if not len(block) and not len(sure):
             return best
-        x = summed_rows(block, (weight / model.idf[term])[:, None].astype(np.float32) * model.basis[term], int(first[-1]))
+        x = projected(model, block, term, weight, int(first[-1]))
         pair = x.copy()
         pair[:-1][~tail[:-1]] += x[1:][~tail[:-1]]
         length = np.sqrt((pair**2).sum(axis=1))
@@ -370,6 +387,7 @@ class Search:
         return best
 
 
+@tidied
 def reported(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, n, terms -> the leaks of every document."""
     search = Search(model)
@@ -382,6 +400,7 @@ def reported(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r, pa.int64())), *columns], ["doc_id", "key", "cosine", "lcs_share", "first_word"])
 
 
+@tidied
 def cleaned(batches: Iterator[pa.RecordBatch], model: Model, column: int) -> Iterator[pa.RecordBatch]:
     """Rows into whose text (the given column) nothing leaks."""
     search = Search(model)
@@ -441,7 +460,7 @@ def models(rows: DataFrame, items: DataFrame, cosine: float, lcs: float) -> Iter
         ok = values > 1e-6 * values.max()
         u, _, _ = np.linalg.svd(y @ (vectors[:, ok] / np.sqrt(values[ok])), full_matrices=False)
         model.basis = (model.idf[:, None] * u[:, :RANK]).astype(np.float32)
-        q = summed_rows(item, (weight / model.idf[term])[:, None].astype(np.float32) * model.basis[term], len(keys))
+        q = projected(model, item, term, weight, len(keys))
         model.queries = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
         yield model, notes
 

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -513,6 +514,31 @@ def test_an_item_that_leaks_into_a_third_of_the_rows_is_found(spark):
     assert {(x.doc_id, x.item_id) for x in got} == {(k, 7) for k in range(45) if k % 3 < 2} | {(90, 8), (91, 9)}
 
 
+def test_memory_of_the_search_is_bounded_where_every_word_is_a_term():
+    g = np.random.default_rng(3)
+    items = [g.integers(0, 3000, 40) for _ in range(50)]
+    model = lsa_decontam.Model([b"%d" % k for k in range(50)], items, np.arange(3000, dtype=np.uint64), 40, 2.0, 0.75)
+    model.search(np.ones(3000), 10_000)
+    model.basis = g.standard_normal((3000, 192), dtype=np.float32)
+    model.queries = g.standard_normal((50, 192), dtype=np.float32) / 192
+    term = g.integers(0, 3000, 400_000)
+    term[123_456 : 123_456 + 40] = items[7]
+    found = lsa_decontam.Found(np.array([0, len(term)]), np.arange(len(term)), term)
+    search = lsa_decontam.Search(model)
+    tracemalloc.start()
+    leaks = search.leaks(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert leaks.keys() == {(0, 7)} and leaks[0, 7][0] == 1
+    assert peak < 200e6
+    block, of, times, first = found.blocked(model)
+    block, of, weight = lsa_decontam.weighted(model, block, of, times)
+    lo, hi = np.searchsorted(block, [2000, 2050])
+    want = np.zeros((50, 192))
+    np.add.at(want, block[lo:hi] - 2000, (weight / model.idf[of])[lo:hi, None] * model.basis[of[lo:hi]])
+    assert np.allclose(lsa_decontam.projected(model, block, of, weight, int(first[-1]))[2000:2050], want, atol=1e-4)
+
+
 # 9: repeated spans
 
 
