@@ -43,10 +43,10 @@ MAX_DF = 0.05
 TRUSTED = 0.8
 #: Share of an item's words that any leak has.
 LEAST = 0.6
-#: Slots of the filter for words that can't be terms, and words of texts that are taken at once.
+#: Slots by which words are looked up among the terms, and words of texts that are taken at once.
 FILTER, AT_ONCE = 1 << 18, 1 << 20
-#: Terms of blocks that are multiplied with dense rows at once.
-ENTRIES = 1 << 15
+#: Terms of blocks that are sketched at once, and those of them that have a dense row of their own at a time (about a processor's cache).
+ENTRIES, TILE = 1 << 15, 1 << 10
 
 
 @dataclass
@@ -57,7 +57,8 @@ class Model:
     stride: int
     cosine: float
     lcs: float
-    filter: np.ndarray = field(default=None)
+    slots: np.ndarray = field(default=None)  # a term of each slot, or -1
+    several: np.ndarray = field(default=None)  # slots of more than one term
     idf: np.ndarray = field(default=None)
     basis: np.ndarray = field(default=None)  # idf times right singular vectors
     queries: np.ndarray = field(default=None)
@@ -67,8 +68,10 @@ class Model:
     times: np.ndarray = field(default=None)  # how often each hot item holds each of their terms
 
     def __post_init__(self):
-        self.filter = np.zeros(FILTER, bool)
-        self.filter[self.vocab & np.uint64(FILTER - 1)] = True
+        slot = (self.vocab & np.uint64(FILTER - 1)).astype(np.int64)
+        self.slots = np.full(FILTER, -1, np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.several = np.bincount(slot, minlength=FILTER) > 1
 
     def search(self, df: np.ndarray, total: int) -> None:
         """Weights of the terms, and what finds leaks that the cosine can't see."""
@@ -90,10 +93,13 @@ class Model:
 
     def terms(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that are terms, and their numbers."""
-        at = np.flatnonzero(self.filter[(h & np.uint64(FILTER - 1)).astype(np.int64)])
-        k = np.searchsorted(self.vocab, h[at])
-        k[k == len(self.vocab)] = 0
-        ok = self.vocab[k] == h[at] if len(self.vocab) else np.zeros(len(at), bool)
+        slot = (h & np.uint64(FILTER - 1)).view(np.int64)
+        k = self.slots[slot]
+        at = np.flatnonzero(k >= 0)
+        k, own = k[at].astype(np.int64), h[at]
+        more = np.flatnonzero(self.several[slot[at]])
+        k[more] = np.minimum(np.searchsorted(self.vocab, own[more]), len(self.vocab) - 1)
+        ok = self.vocab[k] == own
         return at[ok], k[ok]
 
 
@@ -192,24 +198,35 @@ def normed(rows: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     return (weights / np.maximum(length[rows], 1e-12)).astype(np.float32)
 
 
-def summed_rows(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of value rows by (sorted) row number."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    if len(rows):
-        at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        out[rows[at]] = np.add.reduceat(values, at, axis=0)
-    return out
+def add_products(into: np.ndarray, rows: np.ndarray, weights: np.ndarray, column: np.ndarray, table: np.ndarray) -> None:
+    """Adds to each (sorted) row the table's rows of its entries, by weight.
+
+    Rows of equally many entries are multiplied together; of a row of over TILE entries, TILE at a time.
+    """
+    if not len(rows):
+        return
+    at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    count = np.diff(np.append(at, len(rows)))
+    pieces = -(-count // TILE)
+    if pieces.max() > 1:
+        at = np.repeat(at, pieces) + TILE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        count = np.diff(np.append(at, len(rows)))
+    order = np.argsort(count, kind="stable")
+    at, count = at[order], count[order]
+    edges = np.flatnonzero(np.append(True, count[1:] != count[:-1]))
+    for lo, hi in zip(edges, np.append(edges[1:], len(at)), strict=True):
+        n = int(count[lo])
+        step = TILE // n  # pieces of TILE entries, which may be of one row, are alone
+        for first in range(lo, hi, step):
+            own = at[first : min(hi, first + step)]
+            entries = own[:, None] + np.arange(n)
+            into[rows[own]] += np.matmul(weights[entries][:, None], table[column[entries]])[:, 0]
 
 
 def projected(model: Model, block: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the basis rows of each (sorted) block's terms; only ENTRIES terms have a row of their own at a time."""
+    """Sums of the basis rows of each (sorted) block's terms."""
     out = np.zeros((n, model.basis.shape[1]), np.float32)
-    lo = 0
-    while lo < len(block):
-        hi = int(np.searchsorted(block, block[min(len(block), lo + ENTRIES) - 1], side="right"))
-        first, end, t = int(block[lo]), int(block[hi - 1]) + 1, term[lo:hi]
-        out[first:end] = summed_rows(block[lo:hi] - first, (weight[lo:hi] / model.idf[t])[:, None].astype(np.float32) * model.basis[t], end - first)
-        lo = hi
+    add_products(out, block, (weight / model.idf[term]).astype(np.float32), term, model.basis)
     return out
 
 
@@ -225,11 +242,10 @@ def sketch(block: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, om:
         hi = min(len(block), lo + ENTRIES)
         hi = int(np.searchsorted(block, block[hi - 1], side="right"))
         rows, inverse = np.unique(block[lo:hi], return_inverse=True)
-        y = summed_rows(inverse, w[lo:hi, None] * om[term[lo:hi]], len(rows))
+        y = np.zeros((len(rows), om.shape[1]), np.float32)
+        add_products(y, inverse, w[lo:hi], term[lo:hi], om)
         order = np.argsort(term[lo:hi], kind="stable")
-        t = term[lo:hi][order]
-        at = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        into[t[at]] += np.add.reduceat((w[lo:hi, None] * y[inverse])[order], at, axis=0)
+        add_products(into, term[lo:hi][order], w[lo:hi][order], inverse[order], y)
         lo = hi
 
 
@@ -275,7 +291,8 @@ def masks_of(item: np.ndarray) -> dict[int, int]:
 def alike(item: np.ndarray, masks: dict[int, int], answer: dict[int, int], passage: list[int], lcs: float) -> tuple[float, int]:
     """Share of the item found in order within a stretch of 1.5 item lengths (0 if that is no leak), and where."""
     m = len(item)
-    if common(masks, m, passage) < LEAST * m:
+    held = sum(masks[x].bit_count() for x in masks.keys() & set(passage))  # words of the item, in any order
+    if held < LEAST * m or common(masks, m, passage) < LEAST * m:
         return 0.0, 0
     wide, best, where = -(-3 * m // 2), 0, 0
     for at in range(0, max(1, len(passage) - m + 1), max(1, m // 8)):

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -539,6 +540,64 @@ def test_memory_of_the_search_is_bounded_where_every_word_is_a_term():
     assert np.allclose(lsa_decontam.projected(model, block, of, weight, int(first[-1]))[2000:2050], want, atol=1e-4)
 
 
+def test_sums_of_products(monkeypatch):
+    g = np.random.default_rng(6)
+    monkeypatch.setattr(lsa_decontam, "TILE", 8)
+    for counts in ([0, 3, 8, 0, 1, 16, 19, 3, 7, 0, 5], [], [0], [40], [1] * 30):
+        rows = np.repeat(np.arange(len(counts)), counts)
+        column, weights = g.integers(0, 9, len(rows)), g.standard_normal(len(rows), dtype=np.float32)
+        table, out = g.standard_normal((9, 5), dtype=np.float32), np.ones((len(counts), 5), np.float32)
+        want = out.copy()
+        np.add.at(want, rows, weights[:, None] * table[column])
+        lsa_decontam.add_products(out, rows, weights, column, table)
+        assert np.allclose(out, want, atol=1e-4)
+
+
+def test_sketch_costs_less_than_half_of_plain_sums():
+    g = np.random.default_rng(7)
+    block = np.sort(g.integers(0, 18_000, 200_000))
+    term, weight = g.integers(0, 3800, len(block)), g.random(len(block), dtype=np.float32) + 1
+    om, out = lsa_decontam.omega(3800, 208), np.zeros((3800, 208), np.float32)
+    want, w = np.zeros((3800, 208), np.float32), lsa_decontam.normed(block, weight, 18_000)
+    began = time.thread_time()
+    for lo in range(0, 18_000, 3000):
+        a, b = np.searchsorted(block, [lo, lo + 3000])
+        rows, inverse = np.unique(block[a:b], return_inverse=True)
+        y = np.add.reduceat(w[a:b, None] * om[term[a:b]], np.searchsorted(block[a:b], rows), axis=0)
+        order = np.argsort(term[a:b], kind="stable")
+        terms, at = np.unique(term[a:b][order], return_index=True)
+        want[terms] += np.add.reduceat((w[a:b, None] * y[inverse])[order], at, axis=0)
+    plain, took = time.thread_time() - began, []
+    for _ in range(3):
+        out[:] = 0
+        began = time.thread_time()
+        lsa_decontam.sketch(block, term, weight, 18_000, om, out)
+        took.append(time.thread_time() - began)
+    assert np.allclose(out, want, atol=1e-3)
+    assert min(took) < plain / 2
+
+
+def test_terms_that_share_a_slot_are_told_apart(monkeypatch):
+    g = np.random.default_rng(8)
+    monkeypatch.setattr(lsa_decontam, "FILTER", 64)
+    for n in (0, 1, 40, 500):
+        h = np.unique(g.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        vocab, asked = h[::2], np.concatenate([h, h[::-1], np.array([0, 1, (1 << 64) - 1], np.uint64)])
+        at, k = lsa_decontam.Model([], [], vocab, 32, 0.4, 0.75).terms(asked)
+        assert at.tolist() == np.flatnonzero(np.isin(asked, vocab)).tolist() and (vocab[k] == asked[at]).all()
+
+
+def test_passages_without_enough_of_an_items_words_are_not_compared(monkeypatch):
+    asked, common = [], lsa_decontam.common
+    monkeypatch.setattr(lsa_decontam, "common", lambda *x: asked.append(x) or common(*x))
+    item = np.array([*range(30), *range(10)])
+    masks, answer = lsa_decontam.masks_of(item), lsa_decontam.masks_of(item[-13:])
+    look = lambda passage: lsa_decontam.alike(item, masks, answer, passage, 0.75)
+    assert look([*range(10, 30), -1, *range(40, 80)]) == (0.0, 0) and look([12] * 100) == (0.0, 0) and look([]) == (0.0, 0) and not asked
+    assert look([-1, -1, *item.tolist(), -1])[0] == 1 and look([*range(30), *range(5, 10)])[0] >= 0.75
+    assert look([*range(29, 19, -1), *range(19, 9, -1), *range(10)]) == (0.0, 0) and asked
+
+
 # 9: repeated spans
 
 
